@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from curvelake.llm import common, mixing, quality_rules, sharding, toxicity
+from curvelake.llm import common, merge_dropout, mixing, quality_rules, sharding, token_counts, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +17,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(common.read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(common.read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(common.read(spark, sf_dir, "documents"))
 
@@ -26,12 +29,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode(common.read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
+        "op4_token_counts": op4_token_counts,
         "op6_sharding": op6_sharding,
         "op7_mixing": op7_mixing,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
