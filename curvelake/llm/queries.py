@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.llm import common, merge_dropout, mixing, quality_rules, sharding, token_counts, toxicity
+from curvelake.llm import common, hmm, merge_dropout, mixing, quality_rules, sharding, token_counts, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(common.read(spark, sf_dir, "documents"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(common.read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
+        "op3_lm_scores": op3_lm_scores,
         "op4_token_counts": op4_token_counts,
         "op6_sharding": op6_sharding,
         "op7_mixing": op7_mixing,
