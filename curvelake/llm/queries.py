@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.llm import common, hmm, merge_dropout, mixing, quality_rules, sharding, token_counts, toxicity
+from curvelake.llm import common, crf, hmm, merge_dropout, mixing, quality_rules, sharding, token_counts, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return crf.classify(docs, crf.train(docs, common.read(spark, sf_dir, "labels")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(common.read(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def queries() -> dict:
         "op2_quality_rules": op2_quality_rules,
         "op3_lm_scores": op3_lm_scores,
         "op4_token_counts": op4_token_counts,
+        "op5_quality": op5_quality,
         "op6_sharding": op6_sharding,
         "op7_mixing": op7_mixing,
         "op10_sentencepiece": op10_sentencepiece,
