@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvelake.llm import common, crf, hmm, merge_dropout, mixing, quality_rules, sharding, token_counts, toxicity
+from curvelake.llm import common, crf, hamming, hmm, jaccard, merge_dropout, mixing, quality_rules, sharding, token_counts, toxicity
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.read(spark, sf_dir, "documents"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.read(spark, sf_dir, "embeddings")
+    return hamming.top_k(rows, rows.where(hamming.every(rows)))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.encode(common.read(spark, sf_dir, "documents"))
 
@@ -51,9 +60,11 @@ def queries() -> dict:
         "op5_quality": op5_quality,
         "op6_sharding": op6_sharding,
         "op7_mixing": op7_mixing,
+        "op8_jaccard": op8_jaccard,
+        "op9_topk": op9_topk,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.mix_sql()}
+    return {"op7_mixing": mixing.mix_sql(), "op9_topk": hamming.top_k_sql()}
