@@ -34,7 +34,9 @@ LEVEL = 3
 BACKGROUND_BYTES = 31 << 10
 CLASS_BYTES = 32 << 10
 #: Labelled rows that a fit reads at most, by class.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
+#: Words that are spelled at once; a multiple of the window, so that a long text can be taken in parts.
+SLICE = WINDOW_WORDS * 4096
 #: A beginning of a word belongs to a class when its share of documents differs by so many deviations.
 TELLING_Z = 5.0
 MIN_DOCS = 4
@@ -64,14 +66,29 @@ def spell(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def windows(texts: list[str | None], size: int = WINDOW_WORDS) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Spelled windows of whole texts.
+def slices(texts: list[str | None]) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The texts' words in groups of about ``SLICE``; a longer text is spread over several."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        words = common.lower_words(t)
+        for a in range(0, max(1, len(words)), SLICE):
+            part = words[a : a + SLICE]
+            group.append((i, part))
+            size += len(part) + 1
+            if size >= SLICE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def windows(words: list[list[bytes]], size: int = WINDOW_WORDS) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Spelled windows of lists of words.
 
     Returns the spelled bytes, an (offset, length) row for each window, and
-    the number of windows of each text; a text without words has one that is
+    the number of windows of each list; one without words has one that is
     empty but for a byte.
     """
-    words = [common.lower_words(t) for t in texts]
     data = np.frombuffer(b"".join(b" " + b" ".join(w) for w in words if w) + b" ", np.uint8)
     coded = spell(data).tobytes()
     starts = np.append(np.flatnonzero(data == 32), len(data) - 1)[: sum(map(len, words)) + 1] * LETTER
@@ -83,7 +100,7 @@ def windows(texts: list[str | None], size: int = WINDOW_WORDS) -> tuple[bytes, n
         segments.append(np.column_stack([edge[:-1], np.diff(edge)]))
         counts.append(len(edge) - 1)
         at += n
-    return coded, np.concatenate(segments).astype("<u8") if segments else np.zeros((0, 2), "<u8"), np.array(counts, np.int64)
+    return coded, np.concatenate(segments).astype("<u8"), np.array(counts, np.int64)
 
 
 def cut(coded: bytes, segments: np.ndarray) -> list[bytes]:
@@ -117,11 +134,11 @@ def _beginnings(text: str) -> set[bytes]:
 
 def _apart(texts: list[str]) -> list[str]:
     """Texts without near copies of earlier ones, whose private words would look telling."""
-    seen: set[bytes] = set()
+    seen: set[int] = set()
     out = []
     for t in texts:
         ws = common.lower_words(t)
-        sh = {b" ".join(ws[i : i + 4]) for i in range(max(1, len(ws) - 3))}
+        sh = {hash(tuple(ws[i : i + 4])) for i in range(max(1, len(ws) - 3))}
         if len(sh & seen) <= 0.3 * len(sh):
             out.append(t)
         seen |= sh
@@ -173,17 +190,21 @@ class Model:
     def __setstate__(self, state):
         self.__dict__.update(state, _sizes=None)
 
-    def gains(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes that the toxic dictionary saves on each window, and where each text's windows end."""
+    def gains(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Bytes that the toxic dictionary saves on each window of each text."""
         if self._sizes is None:
             self._sizes = Sizes(self.ordinary), Sizes(self.toxic)
-        coded, segments, counts = windows(texts)
-        return self._sizes[0](coded, segments) - self._sizes[1](coded, segments), np.cumsum(counts)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for group in slices(texts):
+            coded, segments, counts = windows([w for _, w in group])
+            d = self._sizes[0](coded, segments) - self._sizes[1](coded, segments)
+            for (i, _), x in zip(group, np.split(d, np.cumsum(counts)[:-1]), strict=True):
+                out[i].append(x)
+        return [np.concatenate(x) for x in out]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        d, ends = self.gains(texts)
         out = np.zeros((len(texts), 4))
-        for i, x in enumerate(np.split(d, ends[:-1])):
+        for i, x in enumerate(self.gains(texts)):
             over = int((x >= self.limit).sum())
             out[i] = min(x.max(), 40) / 10, np.clip(np.sort(x)[-3:], 0, 40).mean() / 10, math.log1p(over), over / math.sqrt(len(x))
         return out
@@ -205,7 +226,11 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     by = {y: [t for t, k in rows if k == y] for y in (0, 1)}
     half = {y: (by[y][0::2], by[y][1::2]) for y in (0, 1)}
     tox, plain = _apart(half[1][0]), _apart(half[0][0])
-    train = [w for w in cut(*windows(plain or [t for t, _ in rows], 32)[:2]) if len(w) >= 32][:20000]
+    train: list[bytes] = []
+    for group in slices(plain or [t for t, _ in rows]):
+        train += [w for w in cut(*windows([w for _, w in group], 32)[:2]) if len(w) >= 32]
+        if len(train) >= 8000:
+            break
     background = b""
     if len(train) >= 50:
         background = zstandard.train_dictionary(BACKGROUND_BYTES + 1024, train, level=3).as_bytes()[-BACKGROUND_BYTES:]
@@ -219,8 +244,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         share = (sum(by_ for _, by_ in rows) + 0.5) / (len(rows) + 1) if rows else 0.1
         model.weights = [0.0] * 4 + [math.log(share / (1 - share))]
         return model
-    gains, ends = model.gains([t for t, _ in cal])
-    best = np.array([g.max() for g in np.split(gains, ends[:-1])])
+    best = np.array([g.max() for g in model.gains([t for t, _ in cal])])
     # The window limit: the one whose documents with any window over it part the classes best.
     limits = np.arange(3, 41)
     hit = np.array([(best[y == 1] >= q).mean() - (best[y == 0] >= q).mean() for q in limits])
