@@ -498,7 +498,7 @@ def _align_sql(method: str) -> str:
     part = "{t} AS (SELECT g.user_id, q, CASE WHEN q <= hi{t} AND q >= lo{t} THEN {v} END AS v FROM (SELECT g.user_id, q, max(CASE WHEN x0 <= q THEN x0 END) AS ax, min(x0) AS lo{t}, max(x1) AS hi{t} FROM g JOIN seg{t} s ON s.user_id = g.user_id AND s.x1 IS NOT NULL GROUP BY g.user_id, q) g JOIN seg{t} s ON s.user_id = g.user_id AND s.x0 = coalesce(ax, lo{t}) AND s.x1 IS NOT NULL)"
     return f"""WITH {_TWO}, g AS (SELECT user_id, CASE WHEN i = 9 THEN hi ELSE lo + i * ((hi - lo) / 9) END AS q FROM rg, range(0, 10) r(i) WHERE lo < hi),
 {_seg('a', 'va', method)}, {_seg('b', 'vb', method)}, {part.format(t='va', v=v)}, {part.format(t='vb', v=v)}
-SELECT user_id, {rs('va.q', 4)} AS t, {rs('va.v - vb.v', 4)} AS value FROM va JOIN vb ON va.user_id = vb.user_id AND va.q = vb.q"""
+SELECT va.user_id AS user_id, {rs('va.q', 4)} AS t, {rs('va.v - vb.v', 4)} AS value FROM va JOIN vb ON va.user_id = vb.user_id AND va.q = vb.q"""
 
 
 def _aligned(d, method: str) -> Field:
