@@ -287,7 +287,7 @@ def eval_(f: Field, value: float, along: str | None = None, method: str = "pchip
 @operator()
 def align(fields: list[Field], grid: Field, labels: list, along: str, method: str = "pchip", extrapolate: str = "nan", fewpoints: str = "linear", unmatched: str = "drop"):
     """Interpolates all operands that have x onto one grid and joins them there."""
-    on = [OPS["resample"](f, grid, along=along, method=method, extrapolate=extrapolate, fewpoints=fewpoints) if along in f.type.input_names else f for f in fields[:]]
+    on = [OPS["resample"](f, grid, along=along, method=method, extrapolate=extrapolate, fewpoints=fewpoints) if along in f.type.input_names else f for f in fields]
     got = OPS["join"](on, labels=labels, unmatched=unmatched)
     return got.df, got.type
 

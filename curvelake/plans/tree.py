@@ -62,6 +62,8 @@ class Context:
     notes: list = slot(default_factory=list)
     #: Comparisons pushed to a table's files while a tree is rebuilt, by the node's id.
     pushed: dict = slot(default_factory=dict)
+    #: Types by node id, of everything built so far.
+    types: dict = slot(default_factory=dict)
 
     def check(self, what: str, broken: DataFrame) -> None:
         self.checks.append((what, broken))
@@ -77,9 +79,10 @@ class Context:
                 raise FieldError(f"{what}: {', '.join(f'{k}={v}' for k, v in first[0].asDict().items())}")
 
     def report(self) -> list[str]:
-        todo, self.notes = self.notes, []
+        # A table that an expression names twice is noted twice, for the same rows.
+        todo, self.notes = dict(reversed(self.notes)), []
         out = []
-        for what, rows in todo:
+        for what, rows in reversed(todo.items()):
             n = rows.count()
             if n:
                 out.append(f"{n} {what}")
@@ -143,6 +146,7 @@ def operator(name: str | None = None, same_points: bool = False):
             ctx = kids[0].ctx if kids else bound.arguments["ctx"]
             df, ftype = fn(**{k: v for k, v in bound.arguments.items()})
             node = Node(op, json.loads(json.dumps(params)), tuple(k.node for k in kids))
+            ctx.types[node.id] = ftype
             keeps = same_points(params, kids) if callable(same_points) else same_points
             return Field(df.select(*[c(n) for n in ftype.input_names + ftype.output_names]), ftype, node, ctx, kids[0].pid if keeps else "")
 
@@ -166,10 +170,13 @@ def build(node: Node, ctx: Context, made: dict[str, Field] | None = None) -> Fie
     names = [n for n in op.signature.parameters if n not in node.params and n != "ctx"]
     args: dict = dict(node.params)
     if kids:
-        if len(names) == 1 and op.signature.parameters[names[0]].annotation in ("list[Field]", list):
-            args[names[0]] = kids
-        else:
-            args |= dict(zip(names, kids, strict=False))
+        # Operands come first in a signature: one list of them, or single ones, or a list and single ones after it.
+        many = [n for n in names if op.signature.parameters[n].annotation == "list[Field]"]
+        single = [n for n in names if op.signature.parameters[n].annotation == "Field"]
+        if many:
+            args[many[0]] = kids[: len(kids) - len(single)]
+            kids = kids[len(kids) - len(single) :]
+        args |= dict(zip(single, kids, strict=True))
     if "ctx" in op.signature.parameters:
         args["ctx"] = ctx
         if node.op in ("source", "dataset"):
@@ -179,7 +186,7 @@ def build(node: Node, ctx: Context, made: dict[str, Field] | None = None) -> Fie
 
 
 #: Operators through which a comparison of an input passes to all operands that have the input.
-THROUGH = {"select", "map", "filter", "points", "join", "stack", "union", "reduce", "range", "deriv", "cumint", "resample", "eval", "align", "legendre", "swap", "span", "overlap", "merge_points", "apply", "rename", "slice"}
+THROUGH = {"select", "column", "map", "filter", "points", "join", "stack", "union", "reduce", "range", "deriv", "cumint", "resample", "eval", "align", "legendre", "swap", "span", "overlap", "merge_points", "apply", "rename", "slice"}
 
 
 def push(node: Node, tests: list[lang.Test], types: dict[str, FieldType], ctx: Context) -> None:
