@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curvelake import ship
+
 #: Rows of one Arrow batch; texts are long, so the default of 10,000 rows could be gigabytes.
 ARROW_ROWS = 1024
 
@@ -22,7 +24,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch that goes to a Python worker."""
+    """Bound the bytes of an Arrow batch that goes to a Python worker, which must have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
