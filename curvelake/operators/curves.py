@@ -287,6 +287,12 @@ def eval_(f: Field, value: float, along: str | None = None, method: str = "pchip
 @operator()
 def align(fields: list[Field], grid: Field, labels: list, along: str, method: str = "pchip", extrapolate: str = "nan", fewpoints: str = "linear", unmatched: str = "drop"):
     """Interpolates all operands that have x onto one grid and joins them there."""
+    for i, f in enumerate(fields):
+        for g in fields[:i] + fields[i + 1 :]:
+            on = [n for n in f.type.key(along) if n in g.type.input_names and n != along]
+            if on and along in f.type.input_names:
+                lost = f.df.select(*[c(n) for n in f.type.key(along)]).distinct().join(g.df.select(*[c(n) for n in on]).distinct(), on, "left_anti")
+                (f.ctx.check if unmatched == "error" else f.ctx.note)(f"curves of {labels[i]} without a match", lost)
     on = [OPS["resample"](f, grid, along=along, method=method, extrapolate=extrapolate, fewpoints=fewpoints) if along in f.type.input_names else f for f in fields]
     got = OPS["join"](on, labels=labels, unmatched=unmatched)
     return got.df, got.type

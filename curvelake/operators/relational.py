@@ -256,16 +256,7 @@ def duplicates(df: DataFrame, inputs: list[str], policy: str, order: list[str],
 
 
 @operator()
-def frame(ctx: Context, name: str):
-    """A registered DataFrame."""
-    df, ftype = ctx.tables[name].read(ctx, getattr(ctx, "pushing", ()))
-    return df, ftype
-
-
-@operator()
-def source(ctx: Context, name: str, identity: str = ""):
-    """A declared table: its chunks that can matter, read, converted, and cleared of repeated inputs."""
-    tests = getattr(ctx, "pushing", ())
-    ctx.pushing = ()
-    df, ftype = ctx.tables[name].read(ctx, tests)
-    return df, ftype
+def source(ctx: Context, name: str, identity: str = "", duplicates: str = "", nan_rows: str = ""):
+    """A table: its chunks that can matter, read, converted, and cleared of repeated inputs."""
+    tests, ctx.pushing = getattr(ctx, "pushing", ()), ()
+    return ctx.tables[name].read(ctx, tests, duplicates, nan_rows)

@@ -62,7 +62,7 @@ class Dataset:
             json.dump(self.record, f, indent=1, sort_keys=True)
         os.replace(part, self.path)
 
-    def read(self, ctx: Context, tests=()) -> tuple[DataFrame, FieldType]:
+    def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, FieldType]:
         """The saved rows; a dataset is a table to those that use it."""
         from curvelake.functions import formula
 

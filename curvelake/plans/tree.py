@@ -207,10 +207,12 @@ def push(node: Node, tests: list[lang.Test], types: dict[str, FieldType], ctx: C
         tests = [lang.Test(back.get(t.name, t.name), t.op, t.value, t.column) for t in tests]
     if node.op == "filter":
         tests += [t for t in lang.parse_tests(node.params["tests"]) if not t.column]
+    if node.op == "transform":
+        tests += _through_transform(node, tests, ctx)
     if node.op == "slice":
         tests.append(lang.Test(node.params["name"], "=", node.params["value"]))
     for i, k in enumerate(node.kids):
-        own = [t for t in tests if t.name not in blocked and not t.column and t.name in types[k.id].input_names]
+        own = [t for t in tests if t.name == "*" or (t.name not in blocked and not t.column and t.name in types[k.id].input_names)]
         if node.op == "stack":
             tag = [t for t in tests if t.name == node.params["tag"]]
             own = [t for t in own if t.name != node.params["tag"]]
@@ -222,6 +224,33 @@ def push(node: Node, tests: list[lang.Test], types: dict[str, FieldType], ctx: C
         push(k, own if node.op in THROUGH or node.op == "transform" else [], types, ctx)
 
 
+def _through_transform(node: Node, tests: list[lang.Test], ctx: Context) -> list[lang.Test]:
+    """Comparisons of a changed input as comparisons of the input it came from, by the values that the files' places give."""
+    from curvelake.functions import formula
+    from curvelake.sources.index import derived
+
+    u, to, text = node.params["name"], node.params["to"], node.params["formula_"]
+    out = []
+    if formula.names(lang.parse(text)) == {u} and to != u:
+        known = _path_values(node, u, ctx)
+        for t in tests:
+            if known is not None and t.name == to and not t.column:
+                fit = tuple(v for v in sorted(known) if (d := derived(text, {u: v})) is not None and formula.test_value(t, d))
+                out.append(lang.Test(u, "=", tuple(map(float, fit))) if fit else lang.Test("*", "none", None))
+    return out
+
+
+def _path_values(node: Node, u: str, ctx: Context) -> set | None:
+    """All values of an input that chunks' places give, if it is one of those in every table below."""
+    if node.op == "source":
+        t = ctx.tables.get(node.params["name"])
+        return {ch.values()[u] for ch in t.chunks(ctx.spark)} if u in getattr(t, "placed", {}) else None
+    if node.op in ("rename", "stack") or not node.kids:
+        return None
+    got = [_path_values(k, u, ctx) for k in node.kids if u in ctx.types[k.id].input_names]
+    return None if not got or None in got else set().union(*got)
+
+
 def dump(node: Node) -> list[dict]:
     """The tree as plain records, leaves first."""
     out: dict[str, dict] = {}

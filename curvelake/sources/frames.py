@@ -46,7 +46,7 @@ class Frame:
     digits: int = formula.DIGITS
     nan_rows: str = "drop"
 
-    def read(self, ctx: Context, tests=()) -> tuple[DataFrame, FieldType]:
+    def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, FieldType]:
         df = self.make(ctx)
         place = [f"__{n}" for n in self.order]
         df = df.withColumns({p: c(n) for p, n in zip(place, self.order, strict=True)}) if place else df
@@ -54,14 +54,17 @@ class Frame:
         missing = [n for n in names if n not in df.columns]
         if missing:
             raise FieldError(f"no column {', '.join(missing)}; columns are {', '.join(df.columns)}")
-        df = normalized(df.select(*[c(n) for n in names], *[c(p) for p in place]), self.type, self.digits, ctx, self.nan_rows)
+        df = normalized(df.select(*[c(n) for n in names], *[c(p) for p in place]), self.type, self.digits, ctx, nan_rows or self.nan_rows)
         for t in tests:
             if t.name == "*":
                 df = df.where(F.lit(False))
             elif t.name in self.type.input_names and not t.column:
                 df = df.where(formula.compile_test(t, c(t.name), self.type.var(t.name).dtype))
-        if self.repeats != "unique":
-            df = duplicates(df, self.type.input_names, self.repeats, place, ctx)
+        policy = self.repeats if self.repeats == "unique" else repeats or self.repeats
+        if policy in ("first", "last") and not place:
+            raise FieldError(f"duplicates {policy} needs an order, which registered data do not have")
+        if policy != "unique":
+            df = duplicates(df, self.type.input_names, policy, place, ctx)
         return df, self.type
 
 

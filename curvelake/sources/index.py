@@ -81,7 +81,7 @@ def prune(chunks: list[Chunk], tests, derived: dict[str, str] | None = None) ->
     for ch in chunks:
         values = ch.values()
         for name, text in (derived or {}).items():
-            v = _derived(text, values)
+            v = derived(text, values)
             if v is not None:
                 values[name] = v
         if all(t.name != "*" and (t.name not in values or formula.test_value(t, values[t.name])) for t in tests):
@@ -89,7 +89,7 @@ def prune(chunks: list[Chunk], tests, derived: dict[str, str] | None = None) ->
     return out
 
 
-def _derived(text: str, values: dict) -> float | None:
+def derived(text: str, values: dict) -> float | None:
     tree = lang.parse(text)
     if not formula.names(tree) <= {k for k, v in values.items() if not isinstance(v, str)}:
         return None

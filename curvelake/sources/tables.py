@@ -108,10 +108,6 @@ class Table:
     def reader(self) -> dict:
         return self.source.get("reader", {"format": "text"})
 
-    @property
-    def is_sqlite(self) -> bool:
-        return self.source.get("type") == "sqlite"
-
     @property
     def template(self) -> Template:
         return Template(self.source.get("pattern", "") if self.locator == "glob" else self.source.get("file", ""))
@@ -200,7 +196,7 @@ class Table:
         usable = [t for t in tests if t.name not in self.transforms or t.name in path_only]
         return index.prune(self.chunks(spark), usable, path_only)
 
-    def read(self, ctx: Context, tests=()) -> tuple[DataFrame, FieldType]:
+    def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, FieldType]:
         """Rows of the chosen chunks: constants and path inputs added, conventions applied, inputs rounded, repeats settled."""
         spark, ftype, meta = ctx.spark, self.type, self.spec.get("columns", {})
         used = self._used()
@@ -238,11 +234,12 @@ class Table:
             for n, e in section.items():
                 df = df.withColumn(n, formula.compile_formula(e, {x: c(x) for x in df.columns}))
         names = ftype.input_names + ftype.output_names
-        df = normalized(df.select(*[c(n) for n in names], "__path", "__row"), ftype, self.digits, ctx, self.nan_rows)
+        df = normalized(df.select(*[c(n) for n in names], "__path", "__row"), ftype, self.digits, ctx, nan_rows or self.nan_rows)
         for t in tests:
             if not t.column and t.name in kinds:
                 df = df.where(formula.compile_test(t, c(t.name), kinds[t.name]))
-        return duplicates(df, ftype.input_names, self.repeats, ["__path", "__row"], ctx), ftype
+        own = self.spec["field"].get("duplicates")
+        return duplicates(df, ftype.input_names, own or repeats or self.repeats, ["__path", "__row"], ctx), ftype
 
 
 def _near(t: lang.Test, column):
