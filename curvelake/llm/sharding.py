@@ -144,3 +144,36 @@ def shards(docs: DataFrame, *, n_shards: int = 24, seed: int = 20, id_col: str =
         F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"),
         (F.col("_p") % n_shards).cast("int").alias("shard"), F.floor(F.col("_p") / n_shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: The remainders of the checksum's polynomial for four bits.
+NIBBLES = [0]
+for _i in range(1, 16):
+    _c = _i
+    for _ in range(4):
+        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
+    NIBBLES.append(_c)
+
+
+def shards_sql(n_shards: int = 24, seed: int = 20) -> str:
+    """The same shards in DuckDB's SQL: the checksum by half bytes, the walk by recursion."""
+    step = f"xor(({NIBBLES}::BIGINT[])[(xor(c, x) & 15) + 1], c >> 4)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, nib), lambda c, x: {step}), 4294967295::BIGINT)"
+    inner = "SELECT r, (CASE WHEN p < 0 THEN r ELSE p END) // b AS hi, (CASE WHEN p < 0 THEN r ELSE p END) % b AS lo, a, b, n FROM walk WHERE p < 0 OR p >= n"
+    for i, (m, k) in enumerate(keys(seed)):
+        src, dst, mod = ("lo", "hi", "a") if i % 2 == 0 else ("hi", "lo", "b")
+        other = "lo" if dst == "hi" else "hi"
+        y = f"(({src} * {m} + {k}) % {PRIME})"
+        inner = f"SELECT r, ({dst} + ({y} * {y}) % {PRIME}) % {mod} AS {dst}, {other}, a, b, n FROM ({inner})"
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+x AS (SELECT doc_id, octet_length(bytes)::BIGINT + 8 AS size, string_split(hex(bytes), '') AS h FROM t),
+y AS (SELECT doc_id, size, CASE WHEN size = 8 THEN []::BIGINT[] ELSE list_transform(range(1, len(h) + 1), lambda i: (instr('0123456789ABCDEF', h[i + 2 * (i % 2) - 1]) - 1)::BIGINT) END AS nib FROM x),
+z AS (SELECT doc_id, size, {crc} AS text_crc32 FROM y),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS r, count(*) OVER () AS n FROM z),
+d AS (SELECT *, floor(sqrt(greatest(n - 1, 0)))::BIGINT + 1 AS a FROM r),
+e AS (SELECT *, greatest((n + a - 1) // a, 1) AS b FROM d),
+walk AS (SELECT r, -1::BIGINT AS p, a, b, n FROM e UNION ALL SELECT r, hi * b + lo AS p, a, b, n FROM ({inner})),
+f AS (SELECT r, p FROM walk WHERE p >= 0 AND p < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {n_shards})::INT AS shard, p // {n_shards} AS slot, NULL::INT AS grown_shard FROM e JOIN f USING (r)
+"""
