@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvelake.errors import FieldError
+from curvelake.operators.percurve import per_curve
 from curvelake.plans.tree import Context, c
 
 #: Points that a method needs.
@@ -114,22 +115,20 @@ def smooth_values(x: np.ndarray, y: np.ndarray, s: float) -> np.ndarray:
 def _solved(df: DataFrame, key: list[str], x: str, y: str, name: str, s: float) -> DataFrame:
     """``__m`` (and smoothed y) by a solve for each curve; short curves get none."""
     need = NEEDS[name]
-    cols = df.columns
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x).reset_index(drop=True)
-        xs, ys = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        m = np.full(len(pdf), np.nan)
-        if len(pdf) >= need:
-            if name == "smooth":
-                ys = smooth_values(xs, ys, s)
-                pdf[y] = ys
-            m = cubic_slopes(xs, ys)
-        pdf["__m"] = pd.Series(m).astype(object).where(~np.isnan(m), None).astype("Float64")
-        return pdf[[*cols, "__m"]]
+
+    def solve(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        xs, ys = rows[x].to_numpy(float), rows[y].to_numpy(float).copy()
+        m = np.full(len(rows), np.nan)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a >= need:
+                if name == "smooth":
+                    ys[a:b] = smooth_values(xs[a:b], ys[a:b], s)
+                m[a:b] = cubic_slopes(xs[a:b], ys[a:b])
+        return rows.assign(**{y: ys, "__m": m})
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", __m double"
-    return df.groupBy(*[c(n) for n in key]).applyInPandas(solve, schema)
+    solved = per_curve(df, key, x, solve, schema)
+    return solved.withColumn("__m", F.when(F.isnan("__m"), None).otherwise(F.col("__m")))
 
 
 def segments(df: DataFrame, key: list[str], x: str, y: str, method: str, few: str, ctx: Context | None = None) -> DataFrame:

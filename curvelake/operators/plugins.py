@@ -6,11 +6,13 @@ import importlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 
 from curvelake.errors import FieldError
 from curvelake.functions import formula
+from curvelake.operators.percurve import per_curve
 from curvelake.plans.tree import Field, c, operator
 from curvelake.types import Out
 
@@ -80,30 +82,38 @@ def apply(f: Field, fn: str, along: str | None = None, options: dict | None = No
     kinds = dict(f.df.dtypes)
     key_schema = "".join(f"`{n}` {kinds[n]}, " for n in key)
     outs = f.type.output_names
-    grouped = f.df.groupBy(*[c(n) for n in key])
+    rows_in = f.df.select(*[c(n) for n in key], c(x), *[c(o) for o in outs])
     if p.kind == "reduce":
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(x)
-            row = {n: pdf[n].iloc[0] for n in key}
+        def one(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+            out = {n: rows[n].to_numpy()[starts] for n in key}
+            xs = rows[x].to_numpy(float)
             for o in outs:
-                ok = pdf[o].notna()
-                row[o] = float(run(pdf.loc[ok, x].to_numpy(float), pdf.loc[ok, o].to_numpy(float), **opts)) if ok.any() else float("nan")
-            return pd.DataFrame([row], columns=[*key, *outs])
-
-        df = grouped.applyInPandas(one, key_schema + ", ".join(f"`{o}` double" for o in outs))
+                ys, got = rows[o].to_numpy(float), []
+                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                    ok = ~np.isnan(ys[a:b])
+                    got.append(float(run(xs[a:b][ok], ys[a:b][ok], **opts)) if ok.any() else float("nan"))
+                out[o] = got
+            return pd.DataFrame(out, columns=[*key, *outs])
+
+        df = per_curve(rows_in, key, x, one, key_schema + ", ".join(f"`{o}` double" for o in outs))
         return df.select(*[c(n) for n in key], *[formula.clean(c(o)).alias(o) for o in outs]), replace(f.type.drop(x), outputs=tuple(Out(o) for o in outs))
     o = f.type.only().name
 
-    def curve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x)
-        ok = pdf[o].notna()
-        nx, ny = run(pdf.loc[ok, x].to_numpy(float), pdf.loc[ok, o].to_numpy(float), **opts)
-        out = pd.DataFrame({n: [pdf[n].iloc[0]] * len(nx) for n in key})
-        out[x], out[o] = list(map(float, nx)), list(map(float, ny))
-        return out[[*key, x, o]]
-
-    df = grouped.applyInPandas(curve, key_schema + f"`{x}` double, `{o}` double")
+    def curve(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        xs, ys = rows[x].to_numpy(float), rows[o].to_numpy(float)
+        new_x, new_y, which = [], [], []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            ok = ~np.isnan(ys[a:b])
+            nx, ny = run(xs[a:b][ok], ys[a:b][ok], **opts)
+            new_x.append(np.asarray(nx, float))
+            new_y.append(np.asarray(ny, float))
+            which.append(np.full(len(new_x[-1]), a))
+        at = np.concatenate(which) if which else np.zeros(0, int)
+        out = {n: rows[n].to_numpy()[at] for n in key}
+        return pd.DataFrame(out | {x: np.concatenate(new_x), o: np.concatenate(new_y)}, columns=[*key, x, o])
+
+    df = per_curve(rows_in, key, x, curve, key_schema + f"`{x}` double, `{o}` double")
     df = df.select(*[c(n) for n in key], formula.norm(c(x)).alias(x), formula.clean(c(o)).alias(o))
     f.ctx.check(f"{p.name} made points of equal {x}", df.groupBy(*[c(n) for n in [*key, x]]).count().where("count > 1"))
     ins = tuple(replace(v, exact=False, dtype="float") if v.name == x else v for v in f.type.inputs)
