@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -76,6 +77,12 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(id_col: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; an absent id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % k

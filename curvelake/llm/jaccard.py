@@ -89,13 +89,23 @@ def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A quarter of the universe at 32 bits: two sets differ in no fewer shingles than their sketches do."""
+    return np.unique((s[s & U(3) == 0] >> U(32)).astype(np.uint32))
+
+
+def most_apart(total: int, percent: int = PERCENT) -> int:
+    """The most shingles in which two sets of so many together can differ: 100 i >= percent u with i + u = total."""
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
 def class_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def short_id(key: bytes) -> int:
-    """The class key's first 56 bits: what blocks carry.  Classes that share one are told apart by the whole key later."""
-    return int.from_bytes(key[:7], "little")
+    """The class key's first 40 bits: what blocks carry.  Classes that share one are told apart by the whole key later."""
+    return int.from_bytes(key[:5], "little")
 
 
 class Band:
@@ -106,7 +116,7 @@ class Band:
         a = high - 1
         b = a * 100 // percent
         #: The most shingles in which a pair can differ: union - intersection, with 100 i >= percent u and i + u = a + b.
-        self.differ = (a + b) - 2 * -(-percent * (a + b) // (100 + percent))
+        self.differ = most_apart(a + b, percent)
         self.plain, self.wide = self._allocate()
         self.units = self.plain + 2 * self.wide
         self.slack = self.units - self.differ - 1
@@ -147,7 +157,7 @@ def bands(most: int, percent: int = PERCENT) -> list[Band]:
 
 
 def _keys_of(s: np.ndarray, band: Band) -> tuple[np.ndarray, int]:
-    """Keys of one set in one band, and the slack that leaving out empty contents leaves (-1: none was left out)."""
+    """Keys of one set in one band, and the slack that leaving out empty contents leaves, packed in a byte."""
     m = band.plain + band.wide
     x = mix(s ^ U(0x5851F42D4C957F2D * (band.number + 1) & (1 << 64) - 1))
     seg = ((x >> U(32)) * U(m)) >> U(32)
@@ -172,7 +182,8 @@ def _keys_of(s: np.ndarray, band: Band) -> tuple[np.ndarray, int]:
             keys.append(mix(tag[np.unique(w[~solid])] ^ U(0xABCDEF)))
     if all_in:
         keys.append(mix(tag[counts == 0] ^ U(0xABCDEF)))
-    return np.unique(np.concatenate(keys)), -1 if all_in else band.slack - lost
+    # Slack and one in seven bits (0: none was left out), and whether a key here can cost two units.
+    return np.unique(np.concatenate(keys)), (0 if all_in else min(band.slack - lost + 1, 127)) | (128 if band.wide else 0)
 
 
 def set_keys(s: np.ndarray, all_bands: list[Band], percent: int = PERCENT) -> list[tuple[np.ndarray, int]]:
@@ -182,8 +193,10 @@ def set_keys(s: np.ndarray, all_bands: list[Band], percent: int = PERCENT) -> li
     return [_keys_of(s, b) for b in all_bands if b.low <= n and b.high > least and b.low * 100 // percent >= b.low]
 
 
-KEY = np.dtype([("key", "<u8"), ("who", "<u8")])
+#: What a block holds of a key (its block is known, and a false meeting is verified away), the short id, and its slack: ten bytes.
+KEY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "u1"), ("slack", "u1")])
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
+OWED = np.dtype([("a", "<u8"), ("b", "<u8"), ("units", "u1"), ("need", "u1")])
 
 
 def _deal(rows: np.ndarray, by: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
@@ -227,11 +240,11 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, with_set: bo
             cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else short_id(k) for k in keys], pa.int64())]
             names = ["doc_id", "n", "ckey", "who"]
             if with_set:
-                cols.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-                names.append("set")
+                cols += [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
+                names += ["set", "sketch"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = f"doc_id {kind}, n long, ckey binary, who long" + ", set binary" * with_set
+    schema = f"doc_id {kind}, n long, ckey binary, who long" + ", set binary, sketch binary" * with_set
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -251,11 +264,11 @@ def key_blocks(docs: DataFrame, text_col: str, size: int, percent: int, most: in
                 if key in seen:
                     continue
                 seen.add(key)
-                who = short_id(key) << 8
+                who = short_id(key)
                 for keys, slack in set_keys(s, all_bands, percent):
                     r = np.empty(len(keys), KEY)
-                    r["key"], r["who"] = keys, who + min(slack + 1, 255)
-                    held.append(r)
+                    r["key"], r["low"], r["high"], r["slack"] = keys >> U(32), who & 0xFFFFFFFF, who >> 32, slack
+                    held.append((r, (keys % U(n_blocks)).astype(np.int32)))
                     rows += len(r)
                 if rows > 1_500_000:
                     yield from _flush(held, n_blocks)
@@ -266,9 +279,8 @@ def key_blocks(docs: DataFrame, text_col: str, size: int, percent: int, most: in
     return docs.select(text_col).mapInArrow(run, "block int, data binary")
 
 
-def _flush(held: list[np.ndarray], n_blocks: int) -> Iterator[pa.RecordBatch]:
-    rows = np.concatenate(held)
-    yield from _deal(rows, (rows["key"] % U(n_blocks)).astype(np.int32), n_blocks)
+def _flush(held: list[tuple[np.ndarray, np.ndarray]], n_blocks: int) -> Iterator[pa.RecordBatch]:
+    yield from _deal(np.concatenate([r for r, _ in held]), np.concatenate([b for _, b in held]), n_blocks)
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -277,29 +289,32 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(p)
 
 
-def meet(rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def meet(rows: np.ndarray, big: int = BIG) -> tuple[np.ndarray, list[np.ndarray]]:
     """Candidate pairs among the records of a block, and its large groups.
 
-    Groups of up to ``BIG`` classes give all their pairs; a larger one gives
+    Groups of up to ``big`` classes give all their pairs; a larger one gives
     each member with the smallest, and the group itself.
     """
-    rows = np.sort(rows, order=["key", "who"])
-    who = rows["who"] >> U(8)
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows["key"][1:] != rows["key"][:-1]) | (who[1:] != who[:-1])
-    rows, who = rows[first], who[first]
-    starts = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]]) if len(rows) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(rows)))
+    key = rows["key"]
+    packed = (((rows["high"].astype(np.uint64) << U(32)) | rows["low"]) << U(8)) | rows["slack"]
+    order = np.lexsort((packed, key))
+    key, packed = key[order], packed[order]
+    who = packed >> U(8)
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+    key, packed, who = key[first], packed[first], who[first]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
     a, b, large = [], [], []
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= BIG)]).tolist():
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= big)]).tolist():
         at = starts[sizes == size]
         i, j = np.triu_indices(size, 1)
         a.append(who[at[:, None] + i].ravel())
         b.append(who[at[:, None] + j].ravel())
-    for at, size in zip(starts[sizes > BIG].tolist(), sizes[sizes > BIG].tolist(), strict=True):
+    for at, size in zip(starts[sizes > big].tolist(), sizes[sizes > big].tolist(), strict=True):
         a.append(np.full(size - 1, who[at]))
         b.append(who[at + 1 : at + size])
-        large.append(rows["who"][at : at + size])
+        large.append(packed[at : at + size])
     pairs = _unique_pairs(np.concatenate(a), np.concatenate(b)) if a else np.zeros(0, PAIR)
     return pairs, large
 
@@ -324,26 +339,45 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int):
         self.docs, self.id_col, self.text_col, self.size, self.percent = docs, id_col, text_col, size, percent
+        self.big = BIG
         self.spark = docs.sparkSession
         self.scratch = common.Scratch(self.spark, "jaccard")
 
-    def _pick(self, df: DataFrame, ids: DataFrame, on: list) -> DataFrame:
-        """Rows whose key is among ``ids``: broadcast up to a checked number of them."""
-        return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, on)
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """``who, ckey, set`` of the classes among ``ids``, from the text of one document of each."""
+        small = ids.count() <= MOST_IDS
+        hint = F.broadcast if small else (lambda df: df)
+        reps = self.scratch.cut(self.classes.join(hint(ids), "who").select("ckey", "rep"))
+        texts = self.docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("_t"))
+        picked = texts.join(hint(reps.select("rep").distinct()), F.col("_id").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["_id", "_t"])
+        # An id may have several texts: the class keys say which rows are meant.
+        found = sets_of(picked, "_id", "_t", self.size, True).where(F.col("ckey").isNotNull()).select("ckey", "who", "n", "set", "sketch")
+        return self.scratch.cut(found.join(hint(reps.select("ckey")), "ckey", "left_semi"))
+
+    def screen(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose sketches differ no more than similar sets may: an eighth of the bytes settles most others."""
+        sides = [sets.select(F.col("who").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
+        both = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "na", "nb", "sa", "sb")
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                keep = []
+                for na, nb, p, q in zip(*(x.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                    p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+                    keep.append(len(p) + len(q) - 2 * len(np.intersect1d(p, q, assume_unique=True)) <= most_apart(na + nb, percent))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([x.column(0).filter(mask), x.column(1).filter(mask)], names=["a", "b"])
+
+        return self.scratch.cut(both.mapInArrow(run, "a long, b long").distinct())
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
+    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """``x, y`` class keys of the pairs that are similar enough."""
-        ids = self.scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("who")).distinct())
-        reps = self.scratch.cut(self._pick(self.classes, ids, ["who"]).select("who", "ckey", F.col("rep").alias("rep")))
-        texts = self.docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("_t"))
-        wanted = reps.select(F.col("rep").alias("_rep")).distinct()
-        picked = texts.join(F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
-        found = sets_of(picked, "_id", "_t", self.size, True).where(F.col("ckey").isNotNull()).select("ckey", "who", "set")
-        # An id may have several texts: the class keys say which rows are meant, and one row of each is enough.
-        sets = self.scratch.cut(found.join(reps.select("ckey"), "ckey", "left_semi").dropDuplicates(["ckey"]))
-        left = sets.select(F.col("who").alias("a"), F.col("ckey").alias("x"), F.col("set").alias("set_a"))
+        pivots = pairs.select(F.col("a").alias("who")).distinct()
+        some = sets.join(F.broadcast(pivots) if pivots.count() <= MOST_IDS else pivots, "who", "left_semi")
         right = sets.select(F.col("who").alias("b"), F.col("ckey").alias("y"), F.col("set").alias("set_b"))
-        both = pairs.join(left, "a").join(right, "b").select("x", "y", "set_a", "set_b")
+        left = some.select(F.col("who").alias("a"), F.col("ckey").alias("x"), F.col("set").alias("set_a"))
+        both = pairs.join(right, "b").join(left, "a").select("x", "y", "set_a", "set_b")
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,10 +391,45 @@ class Join:
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["x", "y"])
 
         # Classes that share a short id meet themselves here, too.
-        return self.scratch.cut(both.mapInArrow(run, "x binary, y binary").where(F.col("x") != F.col("y")))
+        return self.scratch.cut(both.mapInArrow(run, "x binary, y binary").where(F.col("x") != F.col("y")).distinct())
+
+    def named(self, labels: DataFrame) -> DataFrame:
+        """``who, label`` of short ids whose classes all lie in one component."""
+        of = self.classes.join(labels, F.col("ckey") == F.col("x"), "left").select("who", F.coalesce("label", "ckey").alias("label"), F.col("label").isNotNull().alias("linked"))
+        one = of.groupBy("who").agg(F.min("label").alias("label"), F.max("label").alias("other"), F.max("linked").alias("linked"))
+        return self.scratch.cut(one.where("label = other AND linked").select("who", F.xxhash64("label").alias("label")))
+
+    def apart(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs that no component holds yet, with the label of a."""
+        la, lb = (known.select(F.col("who").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+        both = pairs.join(la, "a", "left").join(lb, "b", "left")
+        return both.where("la IS NULL OR lb IS NULL OR la <> lb").select("a", "b", F.coalesce("la", "a").alias("la"))
+
+    def linked(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links that connect what the pairs connect, and the components' labels.
+
+        Each class is first tried with one candidate; what a component then
+        holds needs no more.  Next comes one candidate for each class and
+        component that it may belong to, and last all pairs that are left.
+        """
+        sets = self.fetch(self.scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("who")).distinct()))
+        links, labels, left = None, None, pairs
+        for turn in range(3):
+            if turn:
+                left = self.scratch.cut(self.apart(left, self.named(labels)))
+                if left.isEmpty():
+                    break
+            keys = [["b"], ["b", "la"], ["b", "la", "a"]][turn]
+            now = self.scratch.cut(left.groupBy(*keys).agg(F.min("a").alias("p")).select(F.col("p").alias("a"), "b")) if turn < 2 else left.select("a", "b")
+            new = self.verify(self.screen(now, sets) if turn else now, sets)
+            links = new if links is None else links.unionByName(new)
+            labels = components(links, self.scratch)
+            left = left.select("a", "b").join(now, ["a", "b"], "left_anti")
+            common.release(self.spark)
+        return links, labels
 
     def run(self) -> DataFrame:
-        size, percent, scratch = self.size, self.percent, self.scratch
+        size, percent, scratch, big = self.size, self.percent, self.scratch, self.big
         rows = self.rows = scratch.cut(sets_of(self.docs, self.id_col, self.text_col, size, False))
         self.classes = scratch.cut(rows.where(F.col("ckey").isNotNull()).groupBy("ckey", "who").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
         total, most = self.classes.agg(F.sum("n"), F.max("n")).first()
@@ -369,26 +438,27 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in _gathered(batches, KEY):
-                pairs, large = meet(r)
+                pairs, large = meet(r, big)
                 yield from _deal(pairs, _pair_block(pairs, n_blocks), n_blocks)
                 for g in large:
                     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([g.tobytes()], pa.binary())], names=["block", "data"])
 
         met = scratch.cut(keys.mapInArrow(run, "block int, data binary"))
-        links = self.verify(scratch.cut(_pairs_frame(met.where("block >= 0"), n_blocks)))
-        labels = components(links, scratch)
+        del keys
+        common.release(self.spark)
+        links, labels = self.linked(scratch.cut(_pairs_frame(met.where("block >= 0"), n_blocks)))
         rest = self._rest(met.where("block < 0"), labels, n_blocks)
         if rest is not None:
-            more = self.verify(rest)
-            links = links.unionByName(more)
+            ids = scratch.cut(rest.select(F.explode(F.array("a", "b")).alias("who")).distinct())
+            sets = self.fetch(ids)
+            links = links.unionByName(self.verify(self.screen(rest, sets), sets))
             labels = components(links, scratch)
-        return self._result(links, labels)
+        return self._result(labels)
 
     def _rest(self, large: DataFrame, labels: DataFrame, n_blocks: int) -> DataFrame | None:
         """Pairs that large groups of several components still owe: those of sets that lost more units than their slack."""
         members = scratch_groups(large)
-        known = labels.join(self.classes.select("ckey", "who"), labels.x == F.col("ckey")).select("who", F.xxhash64("label").alias("label"))
-        known = self.scratch.cut(known.groupBy("who").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("who", "label"))
+        known = self.named(labels)
         n_known = known.count()
         spark = self.spark
         if n_known <= MOST_IDS:
@@ -410,42 +480,59 @@ class Join:
             large = self.scratch.cut(large.mapInArrow(mixed, "block int, data binary"))
             members = scratch_groups(large)
         else:
-            flat = members.withColumn("m", F.explode("who")).withColumn("who_", F.shiftright("m", 8))
+            flat = members.withColumn("m", F.explode("who")).withColumn("who_", F.shiftrightunsigned("m", 8))
             named = flat.join(known.withColumnRenamed("who", "who_"), "who_", "left").withColumn("label", F.coalesce("label", "who_"))
             several = named.groupBy("group").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("group")
             members = self.scratch.cut(members.join(several, "group", "left_semi"))
-        flat = self.scratch.cut(members.withColumn("m", F.explode("who")).select("group", F.shiftright("m", 8).alias("who"), F.col("m").bitwiseAND(255).alias("slack")))
+        flat = self.scratch.cut(members.withColumn("m", F.explode("who")).select("group", F.shiftrightunsigned("m", 8).alias("who"), F.col("m").bitwiseAND(255).alias("slack")))
         if flat.isEmpty():
             return None
         # Each such group costs a set one unit, or two where it had deletions there.
-        short = flat.groupBy("who").agg((F.count("*") * 2).alias("lost"), F.min("slack").alias("slack")).where("lost + 1 > slack").select("who")
-        named = flat.join(short, "who", "left_semi").join(known, "who", "left").select("group", "who", F.coalesce("label", F.col("who")).alias("label"))
-        packed = named.groupBy("group").agg(F.collect_list(F.struct("who", "label")).alias("m"))
+        flat = flat.withColumn("cost", F.when(F.col("slack") >= 128, 2).otherwise(1)).withColumn("slack", F.col("slack").bitwiseAND(127))
+        short = flat.groupBy("who").agg(F.sum("cost").alias("lost"), F.min("slack").alias("slack")).where("lost >= slack").select("who")
+        named = flat.join(short, "who", "left_semi").join(known, "who", "left").select("group", "who", "cost", "slack", F.coalesce("label", F.col("who")).alias("label"))
+        packed = named.groupBy("group").agg(F.collect_list(F.struct("who", "label", "cost", "slack")).alias("m"))
 
         def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for m in b.column(0).to_pylist():
-                    who = np.array([x["who"] for x in m], np.int64).astype(np.uint64)
-                    label = np.array([x["label"] for x in m], np.int64)
+            held, size = [], 0
+            for batch in batches:
+                for m in batch.column(0).to_pylist():
+                    who, label, cost, slack = (np.array([x[f] for x in m], np.int64) for f in ("who", "label", "cost", "slack"))
                     for i in range(len(who) - 1):
-                        other = who[i + 1 :][label[i + 1 :] != label[i]]
-                        if len(other):
-                            p = _unique_pairs(np.full(len(other), who[i]), other)
-                            yield from _deal(p, _pair_block(p, n_blocks), n_blocks)
-
-        return self.scratch.cut(_pairs_frame(packed.select("m").mapInArrow(cross, "block int, data binary"), n_blocks))
-
-    def _result(self, links: DataFrame, labels: DataFrame) -> DataFrame:
-        named = labels.join(self.classes.select("ckey", "rep"), labels.x == F.col("ckey")).select("ckey", "label", "rep")
+                        at = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                        r = np.empty(len(at), OWED)
+                        r["a"], r["b"] = np.minimum(who[i], who[at]), np.maximum(who[i], who[at])
+                        r["units"], r["need"] = cost[i], np.maximum(slack[i], slack[at])
+                        held.append(r)
+                        size += len(r)
+                        if size > 500_000:
+                            rows = np.concatenate(held)
+                            yield from _deal(rows, _pair_block(rows, n_blocks), n_blocks)
+                            held, size = [], 0
+            if size:
+                rows = np.concatenate(held)
+                yield from _deal(rows, _pair_block(rows, n_blocks), n_blocks)
+
+        def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # A similar pair that no other key has met shares more of these units than either set's slack.
+            for r in _gathered(batches, OWED):
+                r = r[np.lexsort((r["b"], r["a"]))]
+                at = np.flatnonzero(np.r_[True, (r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1])])
+                keep = np.add.reduceat(r["units"].astype(np.int64), at) >= np.minimum.reduceat(r["need"], at)
+                r = r[at[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(r["a"].astype(np.int64)), pa.array(r["b"].astype(np.int64))], names=["a", "b"])
+
+        return self.scratch.cut(_exchange(packed.select("m").mapInArrow(cross, "block int, data binary"), n_blocks).mapInArrow(enough, "a long, b long"))
+
+    def _result(self, labels: DataFrame) -> DataFrame:
+        named = labels.join(self.classes.select("ckey", "rep"), F.col("x") == F.col("ckey")).select("ckey", "label", "rep")
         least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
         linked = self.scratch.cut(named.join(least, "label").select("ckey", "component_id"))
         per = self.classes.join(linked, "ckey", "left").select("ckey", F.coalesce("component_id", "rep").alias("component_id"))
-        both = links.select(F.col("x").alias("ckey")).unionByName(links.select(F.col("y").alias("ckey")))
-        per = per.join(both.groupBy("ckey").agg(F.count("*").alias("n_links")), "ckey", "left")
         out = self.rows.join(per, "ckey", "left")
         return out.select(
             F.col("doc_id").alias(self.id_col), F.col("n").alias("n_shingles"),
-            F.when(F.col("ckey").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.when(F.col("ckey").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         )
 
 
@@ -487,9 +574,8 @@ def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
 def join(docs: DataFrame, *, shingle_words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets are similar: 100 * intersection >= percent * union.
 
-    One row for each row of ``docs``: id, ``n_shingles``, ``component_id`` (the
-    smallest id reachable by links, its own included) and ``n_links`` (other
-    classes that the row's class is linked with).  An absent or empty text, or
+    One row for each row of ``docs``: id, ``n_shingles`` and ``component_id``
+    (the smallest id reachable by links, its own included).  An absent or empty text, or
     one without words, has no shingles and is linked with nothing.  Rows of
     equal sets are of one class; absent ids are rows of their own and never
     name a component unless all its ids are absent.  An empty table gives an
@@ -497,3 +583,18 @@ def join(docs: DataFrame, *, shingle_words: int = WORDS, percent: int = PERCENT,
     """
     common.small_batches(docs.sparkSession)
     return Join(docs, id_col, text_col, shingle_words, percent).run()
+
+
+def join_sql(size: int = WORDS, percent: int = PERCENT) -> str:
+    """The same components in DuckDB's SQL, by counting shared shingles of all pairs that share any."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(ws) - {size} + 2), lambda i: array_to_string(ws[i:i + {size} - 1], ' '))) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c WHERE 100 * k >= {percent} * (na + nb - k) UNION ALL SELECT y, x FROM c WHERE 100 * k >= {percent} * (na + nb - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
+SELECT s.doc_id, len(s.sh) AS n_shingles, m.component_id FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = s.doc_id
+"""

@@ -67,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.mix_sql(), "op9_topk": hamming.top_k_sql()}
+    return {"op6_sharding": sharding.shards_sql(), "op7_mixing": mixing.mix_sql(), "op8_jaccard": jaccard.join_sql(), "op9_topk": hamming.top_k_sql()}
