@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,10 @@ DROPOUT = 0.1
 #: Different segmentations that a pre-token can get in a corpus; a document's is chosen by a hash of its id.
 VARIANTS = 4
 SEED = 11
-CACHE = 150_000
+CACHE = 250_000
 #: Characters of a pre-token up to which its agenda is scanned.
 LONG = 64
-NEVER = float("inf")
+NEVER = 1 << 40
 MASK = (1 << 32) - 1
 MASK64 = (1 << 64) - 1
 SCHEMA = "ids array<int>, n_tokens int, lossless boolean"
@@ -43,9 +44,9 @@ class Codec:
         sp = bpe.processor(bpe.model_path(name))
         self.dropout, self.seed = dropout, seed
         self.bar = int(dropout * (MASK + 1))
-        self.rank: dict[str, tuple[float, int]] = {}
         self.byte = [0] * 256
         self.piece: list[bytes] = []
+        scored = []
         for i in range(sp.vocab_size()):
             p = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -55,13 +56,21 @@ class Codec:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.piece.append(b"")
             else:
-                self.rank[p] = (-sp.get_score(i), i)
+                scored.append((-sp.get_score(i), p, i))
                 self.piece.append(p.replace(bpe.SPACE, " ").encode())
+        # Pieces of equal score share a rank, so that the leftmost of them comes first.
+        scores = {s: k for k, s in enumerate(sorted({s for s, _, _ in scored}))}
+        self.rank: dict[str, int] = {p: scores[s] for s, p, _ in scored}
+        self.number: dict[str, int] = {p: i for _, p, i in scored}
         self.made: dict[int, bpe.Recent] = {}
 
-    def skipped(self, key: int, place: int, piece: int) -> bool:
-        x = ((key ^ (place << 17) ^ piece) * 0x9E3779B97F4A7C15) & MASK64
-        return ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & MASK64) >> 32 < self.bar
+    def key(self, piece: str, variant: int) -> int:
+        """The hash key of a pre-token in a variant."""
+        low = zlib.crc32(piece.encode("utf-8", "surrogatepass"), (self.seed * 0x9E3779B1 + variant * 0x7FEB352D) & MASK)
+        return (low * 0xBF58476D1CE4E5B9) & MASK64
+
+    def skipped(self, key: int, place: int, rank: int) -> bool:
+        return (((key ^ (place * 0x94D049BB133111EB + rank * 0xD6E8FEB86659FD93)) * 0x9E3779B97F4A7C15) & MASK64) >> 32 < self.bar
 
     def merge(self, piece: str, variant: int) -> bytes:
         """Token ids of one pre-token, four bytes each.
@@ -69,48 +78,51 @@ class Codec:
         The agenda holds a candidate for each pair of neighbours, its rank or
         ``NEVER``; the least comes up first, the leftmost among equals.
         """
-        rank, skipped = self.rank, self.skipped
-        key = zlib.crc32(piece.encode("utf-8", "surrogatepass"), (self.seed * 0x9E3779B1 + variant * 0x7FEB352D) & MASK) << 28
-        drop = self.bar > 0
-
-        def candidate(i: int) -> float:
-            r = rank.get(sym[i] + sym[i + 1])
-            return r[0] if r is not None and not (drop and skipped(key, place[i], r[1])) else NEVER
-
-        sym, place = list(piece), list(range(len(piece)))
-        agenda = [candidate(i) for i in range(len(sym) - 1)]
+        rank, bar = self.rank.get, self.bar
+        key = self.key(piece, variant)
+        sym, place, agenda = list(piece), list(range(len(piece))), []
+        for i in range(len(sym) - 1):
+            r = rank(piece[i : i + 2])
+            if r is None or (((key ^ (i * 0x94D049BB133111EB + r * 0xD6E8FEB86659FD93)) * 0x9E3779B97F4A7C15) & MASK64) >> 32 < bar:
+                r = NEVER
+            agenda.append(r)
         while agenda:
             best = min(agenda)
             if best == NEVER:
                 break
             i = agenda.index(best)
-            sym[i] += sym.pop(i + 1)
+            new = sym[i] = sym[i] + sym.pop(i + 1)
             del place[i + 1], agenda[i]
             if i < len(agenda):
-                agenda[i] = candidate(i)
+                r = rank(new + sym[i + 1])
+                if r is None or (((key ^ (place[i] * 0x94D049BB133111EB + r * 0xD6E8FEB86659FD93)) * 0x9E3779B97F4A7C15) & MASK64) >> 32 < bar:
+                    r = NEVER
+                agenda[i] = r
             if i:
-                agenda[i - 1] = candidate(i - 1)
-        out: list[int] = []
-        for x in sym:
-            r = rank.get(x)
-            if r is not None:
-                out.append(r[1])
-            else:
-                out.extend(self.byte[c] for c in x.encode("utf-8", "surrogatepass"))
-        return np.array(out, "<i4").tobytes()
+                r = rank(sym[i - 1] + new)
+                if r is None or (((key ^ (place[i - 1] * 0x94D049BB133111EB + r * 0xD6E8FEB86659FD93)) * 0x9E3779B97F4A7C15) & MASK64) >> 32 < bar:
+                    r = NEVER
+                agenda[i - 1] = r
+        return self._ids(sym)
+
+    def _ids(self, symbols: list[str]) -> bytes:
+        number = self.number.get
+        out = [number(x, -1) for x in symbols]
+        if -1 in out:
+            out = [j for x, i in zip(symbols, out, strict=True) for j in ([i] if i >= 0 else [self.byte[b] for b in x.encode("utf-8", "surrogatepass")])]
+        return array("i", out).tobytes()
 
     def _long(self, piece: str, variant: int) -> bytes:
         """The same for a pre-token too long for a scanned agenda: a heap of candidates over linked neighbours."""
-        rank, n = self.rank, len(piece)
-        key = zlib.crc32(piece.encode("utf-8", "surrogatepass"), (self.seed * 0x9E3779B1 + variant * 0x7FEB352D) & MASK) << 28
+        rank, n, key = self.rank, len(piece), self.key(piece, variant)
         sym: list[str | None] = list(piece)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple] = []
 
         def push(i: int, j: int) -> None:
             r = rank.get(sym[i] + sym[j])
-            if r is not None and not (self.bar and self.skipped(key, i, r[1])):
-                heapq.heappush(heap, (r[0], i, j, len(sym[i]) + len(sym[j])))
+            if r is not None and not self.skipped(key, i, r):
+                heapq.heappush(heap, (r, i, j, len(sym[i]) + len(sym[j])))
 
         for i in range(n - 1):
             push(i, i + 1)
@@ -126,12 +138,7 @@ class Codec:
                 push(i, right[i])
             if left[i] >= 0:
                 push(left[i], i)
-        out: list[int] = []
-        for x in sym:
-            if x is not None:
-                r = rank.get(x)
-                out.extend([r[1]] if r is not None else [self.byte[c] for c in x.encode("utf-8", "surrogatepass")])
-        return np.array(out, "<i4").tobytes()
+        return self._ids([x for x in sym if x is not None])
 
     def known(self, variant: int) -> bpe.Recent:
         """The cache of one variant."""
