@@ -27,13 +27,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to the target weights and shuffled, without the mixture's own columns."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents replicated to the target weights and shuffled, with the number of the copy as last column."""
+    mixed = mixing.mix(docs)
+    return mixed.select(*docs.columns, mixed.columns[len(docs.columns)])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with merge-dropout."""
-    return merge_dropout.encode(docs)
+    """Token ids with merge-dropout, which each copy of a document draws for itself."""
+    copies = [c for c in docs.columns if c.lstrip("_") == "mix_copy"]
+    return merge_dropout.encode(docs, copy_col=copies[-1] if copies else None)
 
 
 STAGES = [

@@ -191,6 +191,34 @@ def test_scanned_and_linked_agendas_agree():
             assert c.merge(w, 2) == c._long(w, 2)
 
 
+def test_each_occurrence_draws_its_own_dropout():
+    c = merge_dropout.Codec("piece_bpe_32k.model", 0.1, 11)
+    pieces = bpe.pretokens("together " * 3000)
+    keys = merge_dropout.spread(np.arange(len(pieces), dtype=np.uint64))
+    ids, counts = c.walk(pieces, keys)
+    got = [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [c.merge(p, int(k)) for p, k in zip(pieces, keys, strict=True)]
+    assert len(set(got)) > 8  # four at most, before
+    # A word of one merge stays unsplit at about a tenth of its places in any text.
+    one = next(p for p in c.number if len(p) == 2 and p[0] == "▁" and p[1].isalpha())
+    ids = [c.encode((one[1] + " ") * 4000, k).tolist() for k in (1, 2)]
+    for x in ids:
+        assert 0.07 < sum(i != c.number[one] for i in x) / 2 / 4000 < 0.13
+    assert ids[0] != ids[1]
+
+
+def test_rows_merged_together_are_as_alone(monkeypatch):
+    c = merge_dropout.Codec("piece_bpe_32k.model", 0.2, 5)
+    some = ODD + texts(25)
+    pieces = [p for t in some for p in bpe.pretokens(t)]
+    keys = merge_dropout.spread(np.arange(len(pieces), dtype=np.uint64))
+    ids, counts = c.walk(pieces, keys)
+    assert ids.tobytes() == b"".join(c.merge(p, int(k)) for p, k in zip(pieces, keys, strict=True))
+    want = [x.tolist() for x in c.encode_rows(some, list(range(len(some))))]
+    monkeypatch.setattr(merge_dropout, "TOGETHER", 50)
+    assert want == [x.tolist() for x in c.encode_rows(some, list(range(len(some))))]
+
+
 def test_recent_cache_keeps_what_is_used():
     made = []
     r = bpe.Recent(lambda p: made.append(p) or len(p), 4)

@@ -68,6 +68,15 @@ def test_token_columns_on_edges(edge):
     assert all(back[i] == (t or "") for i, t in EDGE if i is not None)
 
 
+def test_copies_and_absent_ids_are_encoded_apart(spark):
+    t = "several words that are merged from their letters " * 20
+    mixed = spark.createDataFrame([(1, t, k) for k in range(6)] + [(None, t + str(k), 0) for k in range(3)], "doc_id long, text string, mix_copy int")
+    got = [tuple(r["ids"]) for r in corpus_pipeline.encode(spark, mixed, DATA).collect()]
+    assert len(set(got)) == 9
+    one = spark.createDataFrame([(1, t, "s")] * 1, "doc_id long, text string, source string")
+    assert corpus_pipeline.mix_sources(spark, one, DATA).columns == ["doc_id", "text", "source", "mix_copy"]
+
+
 def test_lm_with_rare_words(spark):
     docs = common.read(spark, DATA, "documents")
     got = {r["doc_id"]: r for r in hmm.score(docs, head=3000, own=500, shared=50, rounds=1).collect()}
