@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from curvelake.llm import common, jaccard, merge_dropout, mixing, quality_rules, toxicity
 
@@ -20,10 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component, which is the one of smallest id; of rows alike in id one stays."""
-    found = jaccard.join(docs)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component: the one of smallest id, absent ids last, and of rows alike in id the one of smallest class key and text."""
+    return jaccard.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curvelake.llm import common
 
@@ -429,6 +430,10 @@ class Join:
         return links, labels
 
     def run(self) -> DataFrame:
+        return self._result(self.labels())
+
+    def labels(self) -> DataFrame:
+        """``x, label``: the component of each class that is linked with another."""
         size, percent, scratch, big = self.size, self.percent, self.scratch, self.big
         rows = self.rows = scratch.cut(sets_of(self.docs, self.id_col, self.text_col, size, False))
         self.classes = scratch.cut(rows.where(F.col("ckey").isNotNull()).groupBy("ckey", "who").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
@@ -453,7 +458,7 @@ class Join:
             sets = self.fetch(ids)
             links = links.unionByName(self.verify(self.screen(rest, sets), sets))
             labels = components(links, scratch)
-        return self._result(labels)
+        return labels
 
     def _rest(self, large: DataFrame, labels: DataFrame, n_blocks: int) -> DataFrame | None:
         """Pairs that large groups of several components still owe: those of sets that lost more units than their slack."""
@@ -524,6 +529,44 @@ class Join:
 
         return self.scratch.cut(_exchange(packed.select("m").mapInArrow(cross, "block int, data binary"), n_blocks).mapInArrow(enough, "a long, b long"))
 
+    def representatives(self) -> DataFrame:
+        """The rows of ``docs`` that stand for the components, in all their columns.
+
+        A row is chosen by its class and id.  Where an id is of one row, the
+        id finds it; among rows of absent or repeated ids the class key does.
+        """
+        labels = self.labels()
+        of = self.classes.join(labels, F.col("ckey") == F.col("x"), "left").select(F.coalesce("label", "ckey").alias("label"), "ckey", "rep")
+        best = of.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("absent"), "rep", "ckey")).alias("m")).select("m.rep", "m.ckey")
+        many = self.scratch.cut(self.rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_many")))
+        few = F.broadcast if many.count() <= MOST_IDS else (lambda df: df)
+        best = self.scratch.cut(best.join(few(many), F.col("rep") == F.col("_many"), "left").select("rep", "ckey", (F.col("rep").isNotNull() & F.col("_many").isNull()).alias("alone")))
+        docs, columns = self.docs, self.docs.columns
+        doc_id, text = docs[self.id_col], docs[self.text_col]
+        alone = best.where("alone").select("rep")
+        hint = F.broadcast if alone.count() <= MOST_IDS else (lambda df: df)
+        plain = docs.join(hint(alone), doc_id == F.col("rep"), "left_semi")
+        wordless = docs.where(~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+        # Of rows alike in class and id the one of the least text stays, then of the least other columns.
+        unclear = docs.where(doc_id.isNull()).unionByName(docs.join(few(many), doc_id == F.col("_many"), "left_semi"))
+        order = [self.text_col, *(c for c in columns if c not in (self.id_col, self.text_col))]
+        least = self._with_class(unclear).where("_ckey IS NOT NULL").groupBy("_ckey", F.col(self.id_col).alias("_id")).agg(F.min(F.struct(*order)).alias("_m"))
+        least = least.join(best.where("NOT alone"), (F.col("_ckey") == F.col("ckey")) & F.col("_id").eqNullSafe(F.col("rep")), "left_semi")
+        least = least.select(*(F.col("_id").alias(c) if c == self.id_col else F.col("_m")[c].alias(c) for c in columns))
+        return plain.unionByName(least).unionByName(wordless)
+
+    def _with_class(self, docs: DataFrame) -> DataFrame:
+        """All columns, and ``_ckey``, the class key of each row."""
+        at, size = docs.columns.index(self.text_col), self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = [shingle_set(t, size) for t in b.column(at).to_pylist()]
+                keys = pa.array([class_key(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "_ckey"])
+
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_ckey", T.BinaryType())]))
+
     def _result(self, labels: DataFrame) -> DataFrame:
         named = labels.join(self.classes.select("ckey", "rep"), F.col("x") == F.col("ckey")).select("ckey", "label", "rep")
         least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -585,6 +628,17 @@ def join(docs: DataFrame, *, shingle_words: int = WORDS, percent: int = PERCENT,
     return Join(docs, id_col, text_col, shingle_words, percent).run()
 
 
+def representatives(docs: DataFrame, *, shingle_words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component of ``join``, in all its columns.
+
+    It is the row of the smallest id, absent ones last, then of the smallest
+    class key and text, so what stays does not depend on partitions.  Rows
+    without words are linked with nothing, and all stay.
+    """
+    common.small_batches(docs.sparkSession)
+    return Join(docs, id_col, text_col, shingle_words, percent).representatives()
+
+
 def join_sql(size: int = WORDS, percent: int = PERCENT) -> str:
     """The same components in DuckDB's SQL, by counting shared shingles of all pairs that share any."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

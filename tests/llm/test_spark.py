@@ -203,5 +203,27 @@ def test_pipeline_stages(spark):
     assert kept.columns == ["doc_id", "ids", "n_tokens", "lossless"]
 
 
+def test_one_of_each_component_with_absent_and_repeated_ids(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(500)}" for _ in range(80)) for _ in range(8)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(None, texts[0]), (None, texts[1]), (None, near(texts[0])), (None, texts[1].upper()), (5, texts[2]), (5, texts[3]), (5, texts[2]), (5, texts[4]), (6, near(texts[4]))]
+    rows += [(None, texts[5]), (9, near(texts[5])), (3, texts[6]), (4, near(texts[6])), (10, texts[7]), (11, ""), (11, " "), (None, None)]
+    comp, size = brute_components([(k, t) for k, (_, t) in enumerate(rows)])
+    seen = []
+    for n in (1, 5):
+        rnd.shuffle(order := list(range(len(rows))))
+        df = spark.createDataFrame([(*rows[k], "s") for k in order], "doc_id long, text string, source string").repartition(n)
+        out = corpus_pipeline.one_of_each_group(spark, df, DATA)
+        assert out.columns == df.columns
+        seen.append(collections.Counter((r["doc_id"], r["text"]) for r in out.collect()))
+    assert seen[0] == seen[1]
+    found = [rows.index(r) for r in seen[0].elements()]
+    assert sorted(comp[k] for k in found) == sorted(set(comp.values()))
+    for k in found:
+        ids = [i for j, (i, _) in enumerate(rows) if comp[j] == comp[k] and i is not None]
+        assert rows[k][0] == min(ids, default=None)
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
