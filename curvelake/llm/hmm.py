@@ -8,9 +8,10 @@ Model: a document is a walk over latent states; each state emits a word class
 and the class emits the word.  The most frequent words are classes of their
 own, all others share classes by a hash.  So the chance of a text is the
 forward sum over its classes times a factor for each rare word, and both
-parts are exact.  Baum-Welch runs a few rounds on a bounded sample to part the
-states, then over all training documents: each partition adds up its expected
-counts, Spark sums them, and the driver gets one row for each class.
+parts are exact.  Baum-Welch starts from the class shares, tilted by a seeded
+factor for each state, and every round reads all training documents whole: each
+partition adds up its expected counts, Spark sums them, and the driver gets one
+row for each class.
 
 An unseen word counts half a time in its class, as it does in the base score,
 so the model's chances sum to one over the known words and an unknown word
@@ -37,11 +38,8 @@ STATES = 6
 OWN = 20_000
 SHARED = 2_000
 HEAD = 300_000
-#: Rounds of Baum-Welch over all training documents, and before them on a sample of at most so many.
-ROUNDS = 2
-SAMPLE_DOCS = 1500
-SAMPLE_TOKENS = 600
-SAMPLE_ROUNDS = 12
+#: Rounds of Baum-Welch, each over all training documents.
+ROUNDS = 14
 #: Tokens of one padded group of documents, and of a training segment.
 GROUP = 120_000
 SEGMENT = 20_000
@@ -298,21 +296,6 @@ def _sequence(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2").astype(np.int64)
 
 
-def sample_model(encoded: DataFrame, class_totals: np.ndarray) -> Hmm:
-    """A start for the rounds over all data: states parted on a bounded sample."""
-    rows = (
-        encoded.where(~F.col("held_out")).select(F.md5(F.col("rid").cast("string")).alias("h"), F.expr(f"substring(classes, 1, {2 * SAMPLE_TOKENS})").alias("c"))
-        .orderBy("h").limit(SAMPLE_DOCS).collect()
-    )
-    model = first_model(class_totals, STATES)
-    seqs = [_sequence(bytes(r["c"])) for r in rows]
-    for _ in range(SAMPLE_ROUNDS if seqs else 0):
-        e = Expected(len(class_totals), STATES)
-        e.add(model, list(seqs))
-        model = e.model(class_totals)
-    return model
-
-
 def baum_welch(encoded: DataFrame, model: Hmm, class_totals: np.ndarray) -> Hmm:
     """One round over all training documents."""
     spark = encoded.sparkSession
@@ -368,7 +351,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         class_totals[own + r["k"]] = r["c"]
         mass[r["k"]] += r["m"]
     encoded = scratch.cut(encode(docs, voc, id_col, text_col, held_out))
-    trained = sample_model(encoded, class_totals)
+    trained = first_model(class_totals, STATES)
     for _ in range(rounds):
         trained = baum_welch(encoded, trained, class_totals)
     # Rare words: their counts come to them by a join on the word.

@@ -4,6 +4,7 @@ import collections
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,27 @@ def test_lm_with_rare_words(spark):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+def test_lm_states_come_from_whole_documents(spark):
+    """Every round reads each training text to its end: the model is the one of rounds over all sequences here."""
+    texts = [" ".join(["a b"] * 400 + [w] * 900) for w in ("c d e", "f g h")] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in hmm.score(docs, own=20, shared=5, rounds=3).collect()}
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = collections.Counter(w for t in train for w in hmm.tokens(t))
+    top = sorted(counts, key=lambda w: (-counts[w], w))
+    totals = np.zeros(25)
+    totals[: len(top)] = [counts[w] for w in top]
+    place = {w: i for i, w in enumerate(top)}
+    seqs = [np.array([place[w] for w in hmm.tokens(t)]) for t in texts]
+    model = hmm.first_model(totals, hmm.STATES)
+    for _ in range(3):
+        e = hmm.Expected(25, hmm.STATES)
+        e.add(model, [s for i, s in enumerate(seqs) if zlib.crc32(str(i).encode()) % 5 != 1])
+        model = e.model(totals)
+    for i, want in enumerate(hmm.forward(model, seqs)):
+        assert abs(got[i]["score"] - want) < 1e-6 * abs(want)
+
+
 def test_shards_are_those_of_the_permutation(spark):
     docs = common.read(spark, DATA, "documents")
     got = sharding.shards(docs).collect()
