@@ -12,14 +12,19 @@ smaller partner may lie there, of the band below; keys that meet are
 candidates, which are verified on the whole sets.
 
 Keys are dealt by their hash in packed blocks, so that a task sorts numbers,
-not rows.  Keys that cannot tell sets apart are left out where that is safe.
-Capacities exceed H by a slack g.  A key whose content is empty, or that more
-than ``BIG`` classes share, is the same for both sets of a pair, so leaving it
-out costs either set the same units; while one set of a pair has lost no more
-than g units, the pair meets elsewhere.  Only sets that lost more are compared
-with each other within such groups.  Members of a large group are first tried
-against one of them, so that a group of near copies falls into one component
-by a linear number of pairs; groups that lie in one component need no more.
+not rows; each text is shingled and indexed once.  Capacities exceed H by a
+slack, so similar sets meet not in one unit of capacity but in more of them,
+as many as the slack and one, less what empty contents take.  Pairs are
+counted, and those that met in fewer units than either set needs are dropped
+unseen.  A key that more than ``BIG`` classes share is hot: it gives its
+members with one of them only, and charges all of them its units, which are
+taken off the need of their pairs.  A task finds what is hot among its own
+keys first and sends on one member, so a key of a third of all classes is spread.  A pair that met in hot keys alone has lost as many units as it
+needs on both sides; such pairs come from the smallest hot keys of the sets
+that lost so much (the prefix principle), unless one component holds both.
+Candidates are verified on the whole sets, one for each class first, so that
+a group of near copies falls into one component by a linear number of pairs.
+Sets are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +49,12 @@ PERCENT = 80
 BAND = 1.5
 #: Classes that share a key beyond which the key counts as hot.
 BIG = 16
-#: Bytes of keys that one block takes, on average.
-BLOCK_BYTES = 5 << 20
+#: Bytes of text whose keys one block takes, on average, and how much that may grow to keep blocks few.
+BLOCK_BYTES, MOST_BLOCKS, LARGEST = 4 << 20, 4096, 48 << 20
+#: Classes of a block of a family, whose sets a task holds together with another block's.
+FAMILY = 64
+#: Key records that a task sorts at once.
+FLUSH = 1_500_000
 #: Most ids (8 to 16 bytes each) that are broadcast; more are joined by a shuffle.
 MOST_IDS = 1_000_000
 U = np.uint64
@@ -90,11 +101,6 @@ def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     return np.unique(s)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """A quarter of the universe at 32 bits: two sets differ in no fewer shingles than their sketches do."""
-    return np.unique((s[s & U(3) == 0] >> U(32)).astype(np.uint32))
-
-
 def most_apart(total: int, percent: int = PERCENT) -> int:
     """The most shingles in which two sets of so many together can differ: 100 i >= percent u with i + u = total."""
     return total - 2 * -(-percent * total // (100 + percent))
@@ -127,7 +133,9 @@ class Band:
         n = math.sqrt(self.low * (self.high - 1))
         best = None
         need = self.differ + 1
-        for extra in range(0, max(6, need // 3) + 1):
+        # With less slack a passage that many documents share would cost its readers all of it.
+        least = need // 5 + 3
+        for extra in range(least, least + max(6, need // 5) + 1):
             for wide in sorted({0, 1, 2, need // 8, need // 4, need // 2, (need + extra) // 2}):
                 plain = need + extra - 2 * wide
                 if plain < 0 or plain + wide == 0:
@@ -157,8 +165,14 @@ def bands(most: int, percent: int = PERCENT) -> list[Band]:
     return out
 
 
-def _keys_of(s: np.ndarray, band: Band) -> tuple[np.ndarray, int]:
-    """Keys of one set in one band, and the slack that leaving out empty contents leaves, packed in a byte."""
+def _keys_of(s: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set in one band, and their flags: whether a key costs two units, and the set's need.
+
+    The need is the units in which the set meets a similar one at least, as
+    far as contents are not empty.  A set whose empty contents take all its
+    slack keeps them as keys, in a space of their own that only such sets
+    share; it still meets a similar set in one unit.
+    """
     m = band.plain + band.wide
     x = mix(s ^ U(0x5851F42D4C957F2D * (band.number + 1) & (1 << 64) - 1))
     seg = ((x >> U(32)) * U(m)) >> U(32)
@@ -172,167 +186,300 @@ def _keys_of(s: np.ndarray, band: Band) -> tuple[np.ndarray, int]:
     tag = mix(np.arange(m, dtype=np.uint64) + U(band.number << 32))
     lost = int((counts[: band.plain] == 0).sum() + 2 * (counts[band.plain :] == 0).sum() + (counts[band.plain :] == 1).sum())
     all_in = lost > band.slack
-    # A set without slack keeps its empty contents, in a space of their own that only such sets share.
-    keys = [mix(full[counts > 0] + tag[counts > 0])]
+    held = np.flatnonzero(counts)
+    keys, two = [mix(full[held] + tag[held])], [held >= band.plain]
     if band.wide:
         inside = seg >= band.plain
         w = seg[inside]
         solid = counts[w] > 1
         keys.append(mix(full[w[solid]] - y[inside][solid] + tag[w[solid]]))
+        two.append(np.ones(len(keys[-1]), bool))
         if all_in:
             keys.append(mix(tag[np.unique(w[~solid])] ^ U(0xABCDEF)))
+            two.append(np.ones(len(keys[-1]), bool))
     if all_in:
-        keys.append(mix(tag[counts == 0] ^ U(0xABCDEF)))
-    # Slack and one in seven bits (0: none was left out), and whether a key here can cost two units.
-    return np.unique(np.concatenate(keys)), (0 if all_in else min(band.slack - lost + 1, 127)) | (128 if band.wide else 0)
+        bare = np.flatnonzero(counts == 0)
+        keys.append(mix(tag[bare] ^ U(0xABCDEF)))
+        two.append(bare >= band.plain)
+    need = 1 if all_in else min(band.slack - lost + 1, NEED)
+    return np.concatenate(keys), (np.concatenate(two) * TWO | need).astype(np.uint8)
 
 
-def set_keys(s: np.ndarray, all_bands: list[Band], percent: int = PERCENT) -> list[tuple[np.ndarray, int]]:
-    """Keys in the set's own band and in bands where a smaller partner may lie."""
+def set_keys(s: np.ndarray, all_bands: list[Band], percent: int = PERCENT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys in the set's own band and in bands where a smaller partner may lie, with their flags."""
     n = len(s)
     least = -(-n * percent // 100)
-    return [_keys_of(s, b) for b in all_bands if b.low <= n and b.high > least and b.low * 100 // percent >= b.low]
+    out = []
+    for b in all_bands:
+        if b.low <= n and b.high > least and b.low * 100 // percent >= b.low:
+            keys, flags = _keys_of(s, b)
+            out.append((keys, flags | np.uint8(OWN * (n < b.high))))
+    return out
+
+
+class Bands:
+    """Bands up to the largest size seen so far."""
+
+    def __init__(self, percent: int):
+        self.percent, self.most, self.made = percent, 0, []
+
+    def up_to(self, n: int) -> list[Band]:
+        if n > self.most:
+            self.most = 2 * n
+            self.made = bands(self.most, self.percent)
+        return self.made
+
+
+#: Flags of a key: it costs two units; its band is the set's own; a task has found it hot.  The rest is the set's need.
+TWO, OWN, HOT, NEED = 128, 64, 32, 31
+#: What a block holds of a key (its block is known, and a false meeting is verified away), the short id, and flags: ten bytes.
+KEY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "u1"), ("flags", "u1")])
+#: Two sides (a side is a short id and whether its band is its own), the units in which they met and their needs.
+MET = np.dtype([("a", "<u8"), ("b", "<u8"), ("units", "u1"), ("need_a", "u1"), ("need_b", "u1")])
+#: A side's part in a hot key.
+SHARE = np.dtype([("group", "<u8"), ("side", "<u8"), ("cost", "u1"), ("need", "u1")])
+#: Kinds of packed rows.
+KEYS, PAIRS, SHARES, ROW = 0, 1, 2, 3
+
+
+def _packed(rows: np.ndarray) -> np.ndarray:
+    """Side and flags of key records in one number, the side first."""
+    who = (rows["high"].astype(np.uint64) << U(32)) | rows["low"]
+    return (((who << U(1)) | ((rows["flags"] & OWN) > 0).astype(np.uint64)) << U(8)) | rows["flags"]
 
 
-#: What a block holds of a key (its block is known, and a false meeting is verified away), the short id, and its slack: ten bytes.
-KEY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "u1"), ("slack", "u1")])
-PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
-OWED = np.dtype([("a", "<u8"), ("b", "<u8"), ("units", "u1"), ("need", "u1")])
+def _met(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Records of packed sides that meet in a key; p is the lesser of each two.
+
+    The band of a pair is its smaller set's own, so two sides that are both
+    out of their own bands do not count here.
+    """
+    a, b = p >> U(8), q >> U(8)
+    keep = (((a | b) & U(1)) > 0) & (a >> U(1) != b >> U(1))
+    p, q = p[keep], q[keep]
+    out = np.empty(len(p), MET)
+    out["a"], out["b"], out["units"] = a[keep], b[keep], 1 + ((p & U(TWO)) > 0)
+    out["need_a"], out["need_b"] = p & U(NEED), q & U(NEED)
+    return out
+
+
+def summed(rows: np.ndarray) -> np.ndarray:
+    """One record for each pair, its units added up (more than a need can be are as good as that)."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows["b"], rows["a"]))]
+    at = np.flatnonzero(np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])])
+    out = rows[at]
+    out["units"] = np.minimum(np.add.reduceat(rows["units"].astype(np.int64), at), 255)
+    for c in ("need_a", "need_b"):
+        out[c] = np.minimum.reduceat(rows[c], at)
+    return out
+
+
+def _hot(group: np.ndarray, packed: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What groups leave that are too large for all their pairs: each member with the first one, and each member's share."""
+    first = np.repeat(starts, sizes)
+    other = first != np.arange(len(packed))
+    pairs = _met(packed[first[other]], packed[other])
+    fresh = (packed & U(HOT)) == 0
+    shares = np.empty(int(fresh.sum()), SHARE)
+    shares["group"], shares["side"] = group[fresh], packed[fresh] >> U(8)
+    shares["cost"], shares["need"] = 1 + ((packed[fresh] & U(TWO)) > 0), packed[fresh] & U(NEED)
+    return pairs, shares
+
+
+def meet(rows: np.ndarray, block: int = 0, big: int = BIG) -> tuple[np.ndarray, np.ndarray]:
+    """Summed pairs among the records of a block, and the shares in its hot keys.
+
+    Groups of up to ``big`` classes give all their pairs; a larger one, or
+    one that a task has found hot, gives each member with the smallest.
+    """
+    key, packed = rows["key"], _packed(rows)
+    order = np.lexsort((packed, key))
+    key, packed = key[order], packed[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (packed[1:] != packed[:-1])
+    key, packed = key[first], packed[first]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
+    hot = sizes > big
+    if len(starts):
+        hot |= np.logical_or.reduceat((packed & U(HOT)) > 0, starts)
+    found = []
+    for size in np.unique(sizes[(sizes > 1) & ~hot]).tolist():
+        at = starts[(sizes == size) & ~hot]
+        i, j = np.triu_indices(size, 1)
+        found.append(_met(packed[at[:, None] + i].ravel(), packed[at[:, None] + j].ravel()))
+    inside = np.repeat(hot, sizes)
+    sizes = sizes[hot]
+    pairs, shares = _hot((U(block) << U(32)) | key[inside], packed[inside], np.cumsum(sizes) - sizes, sizes)
+    return summed(np.concatenate([*found, pairs])), shares
+
 
+def presorted(rows: np.ndarray, block: np.ndarray, big: int = BIG) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A task's key records by block, with what is hot already taken out but for one marked member: rows, blocks, pairs, shares.
 
-def _deal(rows: np.ndarray, by: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """Records packed by block number."""
+    So a key that a third of all classes share sends a few records of each task to its block.
+    """
+    group = (block.astype(np.uint64) << U(32)) | rows["key"]
+    order = np.argsort(group, kind="stable")
+    rows, group = rows[order], group[order]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(group)))
+    hot = sizes > big
+    inside = np.repeat(hot, sizes)
+    many, names = _packed(rows[inside]), group[inside]
+    own = np.argsort(names, kind="stable") if not len(many) else np.lexsort((many, names))
+    heads = np.cumsum(sizes[hot]) - sizes[hot]
+    pairs, shares = _hot(names[own], many[own], heads, sizes[hot])
+    marked = rows[inside][own][heads]
+    marked["flags"] |= HOT
+    rows = np.concatenate([rows[~inside], marked])
+    group = np.concatenate([group[~inside], names[own][heads]])
+    return rows, (group >> U(32)).astype(np.int32), summed(pairs), shares
+
+
+def _deal(rows: np.ndarray, by: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
+    """(block, kind, packed records) by block number."""
     order = np.argsort(by, kind="stable")
     rows, by = rows[order], by[order]
     at = np.flatnonzero(np.diff(by, prepend=-1))
-    edge = np.append(at, len(by))
-    if len(at):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(by[at], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["block", "data"]
-        )
+    edge = np.append(at, len(by)).tolist()
+    return ((int(by[a]), kind, rows[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+def _pair_block(p: np.ndarray, n: int) -> np.ndarray:
+    return (mix((p["a"] >> U(1)) * U(3) + (p["b"] >> U(1))) % U(n)).astype(np.int32)
+
+
+def _side_block(p: np.ndarray, n: int) -> np.ndarray:
+    return (mix(p["side"] >> U(1)) % U(n)).astype(np.int32)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[int, np.ndarray]]:
     """All records of each block of a partition; blocks arrive sorted."""
     now, parts = None, []
     for b in batches:
-        for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
             if now is not None and block != now:
-                yield np.concatenate(parts)
+                yield now, np.concatenate(parts)
                 parts = []
             now = block
             parts.append(np.frombuffer(data, kind))
     if parts:
-        yield np.concatenate(parts)
+        yield now, np.concatenate(parts)
 
 
 def _exchange(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "block").sortWithinPartitions("block")
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, with_set: bool) -> DataFrame:
-    """Id, size, class key and short id of each row, and its set if asked for; rows without words have no key."""
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
-            keys = [class_key(s) if len(s) else None for s in sets]
-            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else short_id(k) for k in keys], pa.int64())]
-            names = ["doc_id", "n", "ckey", "who"]
-            if with_set:
-                cols += [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
-                names += ["set", "sketch"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    schema = f"doc_id {kind}, n long, ckey binary, who long" + ", set binary, sketch binary" * with_set
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-
-
-def key_blocks(docs: DataFrame, text_col: str, size: int, percent: int, most: int, n_blocks: int) -> DataFrame:
-    """Packed (key, class and slack) records of all classes; a task indexes each of its classes once."""
+def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Class key, short id, size and set of the classes of rows; a task gives each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_bands = bands(most, percent)
         seen: set[bytes] = set()
-        held, rows = [], 0
         for b in batches:
+            got = []
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, size)
-                if len(s) < all_bands[0].low:
-                    continue
                 key = class_key(s)
-                if key in seen:
-                    continue
-                seen.add(key)
-                who = short_id(key)
-                for keys, slack in set_keys(s, all_bands, percent):
-                    r = np.empty(len(keys), KEY)
-                    r["key"], r["low"], r["high"], r["slack"] = keys >> U(32), who & 0xFFFFFFFF, who >> 32, slack
-                    held.append((r, (keys % U(n_blocks)).astype(np.int32)))
-                    rows += len(r)
-                if rows > 1_500_000:
-                    yield from _flush(held, n_blocks)
-                    held, rows = [], 0
-        if held:
-            yield from _flush(held, n_blocks)
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    got.append((key, short_id(key), len(s), s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["ckey", "who", "n", "set"])
 
-    return docs.select(text_col).mapInArrow(run, "block int, data binary")
+    return docs.select(text_col).mapInArrow(run, "ckey binary, who long, n long, set binary")
 
 
-def _flush(held: list[tuple[np.ndarray, np.ndarray]], n_blocks: int) -> Iterator[pa.RecordBatch]:
-    yield from _deal(np.concatenate([r for r, _ in held]), np.concatenate([b for _, b in held]), n_blocks)
+class Packer:
+    """Arrow batches of packed records and of the rows themselves."""
 
+    def __init__(self, id_type: pa.DataType):
+        self.id_type = id_type
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    p = np.empty(len(a), PAIR)
-    p["a"], p["b"] = np.minimum(a, b), np.maximum(a, b)
-    return np.unique(p)
+    def rows(self, ids: pa.Array, blocks: list[int], n: list[int], keys: list[bytes | None]) -> pa.RecordBatch:
+        who = pa.array([None if k is None else short_id(k) for k in keys], pa.int64())
+        return self._batch(blocks, [ROW] * len(n), [None] * len(n), ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), who)
 
+    def packed(self, dealt: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(dealt), 256):
+            part = dealt[a : a + 256]
+            none = [pa.nulls(len(part), t) for t in (self.id_type, pa.int64(), pa.binary(), pa.int64())]
+            yield self._batch([x[0] for x in part], [x[1] for x in part], [x[2] for x in part], *none)
 
-def meet(rows: np.ndarray, big: int = BIG) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Candidate pairs among the records of a block, and its large groups.
+    @staticmethod
+    def _batch(block: list[int], kind: list[int], data: list, *rest: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary()), *rest], names=["block", "kind", "data", "doc_id", "n", "ckey", "who"])
 
-    Groups of up to ``big`` classes give all their pairs; a larger one gives
-    each member with the smallest, and the group itself.
-    """
-    key = rows["key"]
-    packed = (((rows["high"].astype(np.uint64) << U(32)) | rows["low"]) << U(8)) | rows["slack"]
-    order = np.lexsort((packed, key))
-    key, packed = key[order], packed[order]
-    who = packed >> U(8)
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
-    key, packed, who = key[first], packed[first], who[first]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(key)))
-    a, b, large = [], [], []
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= big)]).tolist():
-        at = starts[sizes == size]
-        i, j = np.triu_indices(size, 1)
-        a.append(who[at[:, None] + i].ravel())
-        b.append(who[at[:, None] + j].ravel())
-    for at, size in zip(starts[sizes > big].tolist(), sizes[sizes > big].tolist(), strict=True):
-        a.append(np.full(size - 1, who[at]))
-        b.append(who[at + 1 : at + size])
-        large.append(packed[at : at + size])
-    pairs = _unique_pairs(np.concatenate(a), np.concatenate(b)) if a else np.zeros(0, PAIR)
-    return pairs, large
 
+def indexed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, n_blocks: int, big: int) -> DataFrame:
+    """Each row's class, and the packed keys of all classes; a task shingles a text once and indexes each of its classes once."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_bands, seen = Bands(percent), set()
+        held, blocks, size_now, at = [], [], 0, TaskContext.get().partitionId()
+        out = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows, by, pairs, shares = presorted(np.concatenate(held), np.concatenate(blocks), big)
+            dealt = [*_deal(rows, by, KEYS), *_deal(pairs, _pair_block(pairs, n_blocks), PAIRS), *_deal(shares, _side_block(shares, n_blocks), SHARES)]
+            yield from out.packed(dealt)
+
+        for b in batches:
+            out = out or Packer(b.column(0).type)
+            ns, keys = [], []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, size)
+                key = class_key(s) if len(s) else None
+                ns.append(len(s))
+                keys.append(key)
+                if key is None or key in seen:
+                    continue
+                seen.add(key)
+                who = short_id(key)
+                for hashes, flags in set_keys(s, all_bands.up_to(len(s)), percent):
+                    r = np.empty(len(hashes), KEY)
+                    r["key"], r["low"], r["high"], r["flags"] = hashes >> U(32), who & 0xFFFFFFFF, who >> 32, flags
+                    held.append(r)
+                    blocks.append((hashes % U(n_blocks)).astype(np.int32))
+                    size_now += len(r)
+                if size_now > FLUSH:
+                    yield from flush()
+                    held, blocks, size_now = [], [], 0
+            # Rows go to any block, so that a class of many rows is spread.
+            yield out.rows(b.column(0), [(at * 7919 + i) % n_blocks for i in range(len(ns))], ns, keys)
+            at += len(ns)
+        if held:
+            yield from flush()
+
+    schema = f"block int, kind int, data binary, doc_id {kind}, n long, ckey binary, who long"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
-def _pairs_frame(packed: DataFrame, n_blocks: int) -> DataFrame:
-    """Distinct (a, b) rows of packed pairs, made distinct while packed."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _gathered(batches, PAIR):
-            p = np.unique(p)
-            yield pa.RecordBatch.from_arrays([pa.array(p["a"].astype(np.int64)), pa.array(p["b"].astype(np.int64))], names=["a", "b"])
+def met_keys(keys: DataFrame, n_blocks: int, big: int) -> DataFrame:
+    """Blocks of keys become pairs and shares; everything else is handed on."""
 
-    return _exchange(packed, n_blocks).mapInArrow(unpack, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, waiting = None, []
 
+        def keys_only() -> Iterator[pa.RecordBatch]:
+            nonlocal out
+            for b in batches:
+                out = out or Packer(b.column("doc_id").type)
+                is_key = pc.equal(b.column("kind"), KEYS)
+                waiting.append(b.filter(pc.invert(is_key)))
+                yield b.filter(is_key)
 
-def _pair_block(p: np.ndarray, n: int) -> np.ndarray:
-    return (mix(p["a"] * U(3) + p["b"]) % U(n)).astype(np.int32)
+        for block, rows in _gathered(keys_only(), KEY):
+            pairs, shares = meet(rows, block, big)
+            yield from out.packed([*_deal(pairs, _pair_block(pairs, n_blocks), PAIRS), *_deal(shares, _side_block(shares, n_blocks), SHARES)])
+            yield from waiting
+            waiting.clear()
+        yield from waiting
+
+    return _exchange(keys, n_blocks).mapInArrow(run, keys.schema)
 
 
 class Join:
@@ -345,54 +492,59 @@ class Join:
         self.scratch = common.Scratch(self.spark, "jaccard")
 
     def fetch(self, ids: DataFrame) -> DataFrame:
-        """``who, ckey, set`` of the classes among ``ids``, from the text of one document of each."""
+        """``ckey, who, n, set`` of the classes among ``ids``, from the text of one document of each."""
         small = ids.count() <= MOST_IDS
         hint = F.broadcast if small else (lambda df: df)
         reps = self.scratch.cut(self.classes.join(hint(ids), "who").select("ckey", "rep"))
         texts = self.docs.select(F.col(self.id_col).alias("_id"), F.col(self.text_col).alias("_t"))
-        picked = texts.join(hint(reps.select("rep").distinct()), F.col("_id").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["_id", "_t"])
+        picked = texts.join(hint(reps.select("rep").distinct()), F.col("_id").eqNullSafe(F.col("rep")), "left_semi")
         # An id may have several texts: the class keys say which rows are meant.
-        found = sets_of(picked, "_id", "_t", self.size, True).where(F.col("ckey").isNotNull()).select("ckey", "who", "n", "set", "sketch")
-        return self.scratch.cut(found.join(hint(reps.select("ckey")), "ckey", "left_semi"))
-
-    def screen(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs whose sketches differ no more than similar sets may: an eighth of the bytes settles most others."""
-        sides = [sets.select(F.col("who").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
-        both = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "na", "nb", "sa", "sb")
-        percent = self.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                keep = []
-                for na, nb, p, q in zip(*(x.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                    p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-                    keep.append(len(p) + len(q) - 2 * len(np.intersect1d(p, q, assume_unique=True)) <= most_apart(na + nb, percent))
-                mask = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([x.column(0).filter(mask), x.column(1).filter(mask)], names=["a", "b"])
-
-        return self.scratch.cut(both.mapInArrow(run, "a long, b long").distinct())
+        found = self.scratch.cut(sets_of(picked, "_id", "_t", self.size).join(hint(reps.select("ckey")), "ckey", "left_semi"))
+        # Only where ids repeat may several tasks have found a class.
+        return found if found.count() == reps.count() else self.scratch.cut(found.dropDuplicates(["ckey"]))
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """``x, y`` class keys of the pairs that are similar enough."""
-        pivots = pairs.select(F.col("a").alias("who")).distinct()
-        some = sets.join(F.broadcast(pivots) if pivots.count() <= MOST_IDS else pivots, "who", "left_semi")
-        right = sets.select(F.col("who").alias("b"), F.col("ckey").alias("y"), F.col("set").alias("set_b"))
-        left = some.select(F.col("who").alias("a"), F.col("ckey").alias("x"), F.col("set").alias("set_a"))
-        both = pairs.join(right, "b").join(left, "a").select("x", "y", "set_a", "set_b")
-        percent = self.percent
+        """``x, y`` class keys of the pairs that are similar enough, by their whole sets.
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = []
-                for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                    both_ = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * both_ >= percent * (len(p) + len(q) - both_))
-                mask = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["x", "y"])
+        Classes whose pairs reach one least class are of one family, which is
+        cut into blocks of about ``FAMILY``; a pair belongs to a pair of
+        blocks.  A set is sent once to each pair of blocks that needs it, not
+        once a pair, and no pair of blocks holds more than two blocks' sets.
+        """
+        percent, spark = self.percent, self.spark
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("who"), F.col("b").alias("other")), F.struct(F.col("b").alias("who"), F.col("a").alias("other")))).alias("e"))
+        family = ends.groupBy("e.who").agg(F.least(F.min("e.other"), F.col("who")).alias("family"))
+        sizes = family.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).alias("cuts"))
+        of = self.scratch.cut(family.join(sizes, "family").select("who", F.xxhash64("family", F.pmod(F.xxhash64("who"), "cuts")).alias("part")))
+        hint = F.broadcast if of.count() <= MOST_IDS else (lambda df: df)
+        pa_, pb = (of.select(F.col("who").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
+        dealt = pairs.join(hint(pa_), "a").join(hint(pb), "b").select(F.xxhash64(F.least("part_a", "part_b"), F.greatest("part_a", "part_b")).alias("part"), "a", "b")
+        dealt = self.scratch.cut(dealt)
+        needed = dealt.select("part", F.explode(F.array("a", "b")).alias("who")).distinct()
+        sent = needed.join(sets, "who").select("part", F.lit(0).alias("kind"), F.col("who").alias("a"), F.lit(None).cast("long").alias("b"), "ckey", "set")
+        asked = dealt.select("part", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("ckey"), F.lit(None).cast("binary").alias("set"))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
-        # Classes that share a short id meet themselves here, too.
-        return self.scratch.cut(both.mapInArrow(run, "x binary, y binary").where(F.col("x") != F.col("y")).distinct())
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held = None, {}
+            for batch in batches:
+                found = []
+                for part, kind, a, b, key, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if part != now:
+                        now, held = part, {}
+                    if kind == 0:
+                        held.setdefault(a, []).append((key, np.frombuffer(raw, np.uint64)))
+                        continue
+                    for x, p in held[a]:
+                        for y, q in held[b]:
+                            if x != y and 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                                both = len(np.intersect1d(p, q, assume_unique=True))
+                                if 100 * both >= percent * (len(p) + len(q) - both):
+                                    found.append((x, y))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["x", "y"])
+
+        both = sent.unionByName(asked).repartition(n, "part").sortWithinPartitions("part", "kind")
+        return self.scratch.cut(both.mapInArrow(run, "x binary, y binary").distinct())
 
     def named(self, labels: DataFrame) -> DataFrame:
         """``who, label`` of short ids whose classes all lie in one component."""
@@ -401,133 +553,116 @@ class Join:
         return self.scratch.cut(one.where("label = other AND linked").select("who", F.xxhash64("label").alias("label")))
 
     def apart(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs that no component holds yet, with the label of a."""
+        """Pairs that no component holds yet."""
         la, lb = (known.select(F.col("who").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
         both = pairs.join(la, "a", "left").join(lb, "b", "left")
-        return both.where("la IS NULL OR lb IS NULL OR la <> lb").select("a", "b", F.coalesce("la", "a").alias("la"))
+        return both.where("la IS NULL OR lb IS NULL OR la <> lb").select("a", "b")
 
     def linked(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links that connect what the pairs connect, and the components' labels.
 
         Each class is first tried with one candidate; what a component then
-        holds needs no more.  Next comes one candidate for each class and
-        component that it may belong to, and last all pairs that are left.
+        holds needs no more, and all pairs that are left follow.
         """
         sets = self.fetch(self.scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("who")).distinct()))
-        links, labels, left = None, None, pairs
-        for turn in range(3):
-            if turn:
-                left = self.scratch.cut(self.apart(left, self.named(labels)))
-                if left.isEmpty():
-                    break
-            keys = [["b"], ["b", "la"], ["b", "la", "a"]][turn]
-            now = self.scratch.cut(left.groupBy(*keys).agg(F.min("a").alias("p")).select(F.col("p").alias("a"), "b")) if turn < 2 else left.select("a", "b")
-            new = self.verify(self.screen(now, sets) if turn else now, sets)
-            links = new if links is None else links.unionByName(new)
-            labels = components(links, self.scratch)
-            left = left.select("a", "b").join(now, ["a", "b"], "left_anti")
-            common.release(self.spark)
-        return links, labels
+        first = self.scratch.cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        links = self.verify(first, sets)
+        labels = components(links, self.scratch)
+        left = self.apart(pairs.join(first, ["a", "b"], "left_anti"), self.named(labels))
+        links = links.unionByName(self.verify(self.scratch.cut(left), sets))
+        return links, components(links, self.scratch)
 
     def run(self) -> DataFrame:
         return self._result(self.labels())
 
     def labels(self) -> DataFrame:
         """``x, label``: the component of each class that is linked with another."""
-        size, percent, scratch, big = self.size, self.percent, self.scratch, self.big
-        rows = self.rows = scratch.cut(sets_of(self.docs, self.id_col, self.text_col, size, False))
-        self.classes = scratch.cut(rows.where(F.col("ckey").isNotNull()).groupBy("ckey", "who").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-        total, most = self.classes.agg(F.sum("n"), F.max("n")).first()
-        n_blocks = max(16, -(-int(total or 0) * 8 // BLOCK_BYTES))
-        keys = _exchange(key_blocks(self.docs, self.text_col, size, percent, int(most or 1), n_blocks), n_blocks)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for r in _gathered(batches, KEY):
-                pairs, large = meet(r, big)
-                yield from _deal(pairs, _pair_block(pairs, n_blocks), n_blocks)
-                for g in large:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([g.tobytes()], pa.binary())], names=["block", "data"])
-
-        met = scratch.cut(keys.mapInArrow(run, "block int, data binary"))
-        del keys
+        scratch = self.scratch
+        total = self.docs.agg(F.sum(F.octet_length(self.text_col))).first()[0] or 0
+        n_blocks = max(16, min(-(-total // BLOCK_BYTES), max(MOST_BLOCKS, -(-total // LARGEST))))
+        met, met_path = scratch.write(met_keys(indexed(self.docs, self.id_col, self.text_col, self.size, self.percent, n_blocks, self.big), n_blocks, self.big))
         common.release(self.spark)
-        links, labels = self.linked(scratch.cut(_pairs_frame(met.where("block >= 0"), n_blocks)))
-        rest = self._rest(met.where("block < 0"), labels, n_blocks)
+        self.rows = scratch.cut(met.where(F.col("kind") == ROW).select("doc_id", "n", "ckey", "who"))
+        self.classes = scratch.cut(self.rows.where(F.col("ckey").isNotNull()).groupBy("ckey", "who").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+        lost = self._lost(met)
+        links, labels = self.linked(self._candidates(met, lost, n_blocks))
+        rest = self._rest(met, lost, labels)
+        scratch.drop(met_path)
         if rest is not None:
             ids = scratch.cut(rest.select(F.explode(F.array("a", "b")).alias("who")).distinct())
             sets = self.fetch(ids)
-            links = links.unionByName(self.verify(self.screen(rest, sets), sets))
+            links = links.unionByName(self.verify(rest, sets))
             labels = components(links, scratch)
         return labels
 
-    def _rest(self, large: DataFrame, labels: DataFrame, n_blocks: int) -> DataFrame | None:
-        """Pairs that large groups of several components still owe: those of sets that lost more units than their slack."""
-        members = scratch_groups(large)
+    def _lost(self, met: DataFrame) -> DataFrame:
+        """``side, lost, need``: the units that hot keys cost each side (a pair's count may miss as many), and its need."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    r = np.concatenate([np.frombuffer(x, SHARE) for x in b.column(0).to_pylist()])
+                    r = r[np.argsort(r["side"], kind="stable")]
+                    at = np.flatnonzero(np.r_[True, r["side"][1:] != r["side"][:-1]])
+                    cols = r["side"][at].astype(np.int64), np.add.reduceat(r["cost"].astype(np.int64), at), np.minimum.reduceat(r["need"], at).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["side", "lost", "need"])
+
+        parts = met.where(F.col("kind") == SHARES).select("data").mapInArrow(run, "side long, lost long, need long")
+        return self.scratch.cut(parts.groupBy("side").agg(F.sum("lost").alias("lost"), F.min("need").alias("need")))
+
+    def _candidates(self, met: DataFrame, lost: DataFrame, n_blocks: int) -> DataFrame:
+        """Pairs of classes that met in as many units as both their needs ask for, less what hot keys cost them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, r in _gathered(batches, MET):
+                r = summed(r)
+                yield pa.RecordBatch.from_arrays([pa.array(r[c].astype(np.int64)) for c in MET.names], names=list(MET.names))
+
+        pairs = _exchange(met.where(F.col("kind") == PAIRS).select("block", "data"), n_blocks).mapInArrow(run, ", ".join(f"{c} long" for c in MET.names))
+        hint = F.broadcast if lost.count() <= MOST_IDS else (lambda df: df)
+        for c in "ab":
+            side = lost.select(F.col("side").alias(c), F.col("lost").alias(f"lost_{c}"))
+            pairs = pairs.join(hint(side), c, "left").where(F.col("units") >= F.col(f"need_{c}") - F.coalesce(f"lost_{c}", F.lit(0))).drop(f"lost_{c}")
+        found = pairs.select(*(F.shiftrightunsigned(c, 1).alias(c) for c in "ab"))
+        # Classes that share a short id never meet in a key, so they are always tried.
+        alike = self.classes.groupBy("who").count().where("count > 1").select(F.col("who").alias("a"), F.col("who").alias("b"))
+        return self.scratch.cut(found.unionByName(alike))
+
+    def _rest(self, met: DataFrame, lost: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Pairs that may have met in hot keys only: both sides have lost as many units as they need.
+
+        Such a pair shares hot keys of as many units as either side needs, so
+        by the prefix principle it shares one of the first few of either,
+        smallest first; keys whose members lie in one component are left out.
+        """
+        short = self.scratch.cut(lost.where("lost >= need").select("side"))
+        n_short = short.count()
+        if not n_short:
+            return None
+        hint = F.broadcast if n_short <= MOST_IDS else (lambda df: df)
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for raw in b.column(0).to_pylist():
+                    r = np.frombuffer(raw, SHARE)
+                    yield pa.RecordBatch.from_arrays([pa.array(r[c].astype(np.int64)) for c in SHARE.names], names=["grp", "side", "cost", "need"])
+
+        flat = met.where(F.col("kind") == SHARES).select("data").mapInArrow(unpack, "grp long, side long, cost long, need long")
         known = self.named(labels)
-        n_known = known.count()
-        spark = self.spark
-        if n_known <= MOST_IDS:
-            pdf = known.toPandas()
-            who, label = pdf["who"].to_numpy(np.int64), pdf["label"].to_numpy(np.int64)
-            order = np.argsort(who)
-            sent = spark.sparkContext.broadcast((who[order], label[order]))
-
-            def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                ids, names = sent.value
-                for b in batches:
-                    keep = []
-                    for raw in b.column(1).to_pylist():
-                        g = (np.frombuffer(raw, "<u8") >> U(8)).astype(np.int64)
-                        at = np.minimum(np.searchsorted(ids, g), max(0, len(ids) - 1))
-                        keep.append(len(ids) == 0 or not (ids[at] == g).all() or len(np.unique(names[at])) > 1)
-                    yield b.filter(pa.array(keep, pa.bool_()))
-
-            large = self.scratch.cut(large.mapInArrow(mixed, "block int, data binary"))
-            members = scratch_groups(large)
-        else:
-            flat = members.withColumn("m", F.explode("who")).withColumn("who_", F.shiftrightunsigned("m", 8))
-            named = flat.join(known.withColumnRenamed("who", "who_"), "who_", "left").withColumn("label", F.coalesce("label", "who_"))
-            several = named.groupBy("group").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("group")
-            members = self.scratch.cut(members.join(several, "group", "left_semi"))
-        flat = self.scratch.cut(members.withColumn("m", F.explode("who")).select("group", F.shiftrightunsigned("m", 8).alias("who"), F.col("m").bitwiseAND(255).alias("slack")))
+        sizes = self.classes.groupBy("who").agg(F.min("n").alias("small"), F.max("n").alias("large"))
+        flat = flat.join(hint(short), "side", "left_semi").withColumn("who", F.shiftrightunsigned("side", 1))
+        flat = self.scratch.cut(flat.join(known, "who", "left").withColumn("label", F.coalesce("label", "who")))
+        several = flat.groupBy("grp").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("size")).where("p <> q").select("grp", "size")
+        flat = flat.join(several, "grp")
+        order = Window.partitionBy("side").orderBy("size", "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        flat = flat.withColumn("upto", F.sum("cost").over(order)).withColumn("all", F.sum("cost").over(Window.partitionBy("side")))
+        flat = self.scratch.cut(flat.where("upto - cost <= all - need").join(sizes, "who").select("grp", "side", "who", "label", "small", "large"))
         if flat.isEmpty():
             return None
-        # Each such group costs a set one unit, or two where it had deletions there.
-        flat = flat.withColumn("cost", F.when(F.col("slack") >= 128, 2).otherwise(1)).withColumn("slack", F.col("slack").bitwiseAND(127))
-        short = flat.groupBy("who").agg(F.sum("cost").alias("lost"), F.min("slack").alias("slack")).where("lost >= slack").select("who")
-        named = flat.join(short, "who", "left_semi").join(known, "who", "left").select("group", "who", "cost", "slack", F.coalesce("label", F.col("who")).alias("label"))
-        packed = named.groupBy("group").agg(F.collect_list(F.struct("who", "label", "cost", "slack")).alias("m"))
-
-        def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
-            for batch in batches:
-                for m in batch.column(0).to_pylist():
-                    who, label, cost, slack = (np.array([x[f] for x in m], np.int64) for f in ("who", "label", "cost", "slack"))
-                    for i in range(len(who) - 1):
-                        at = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-                        r = np.empty(len(at), OWED)
-                        r["a"], r["b"] = np.minimum(who[i], who[at]), np.maximum(who[i], who[at])
-                        r["units"], r["need"] = cost[i], np.maximum(slack[i], slack[at])
-                        held.append(r)
-                        size += len(r)
-                        if size > 500_000:
-                            rows = np.concatenate(held)
-                            yield from _deal(rows, _pair_block(rows, n_blocks), n_blocks)
-                            held, size = [], 0
-            if size:
-                rows = np.concatenate(held)
-                yield from _deal(rows, _pair_block(rows, n_blocks), n_blocks)
-
-        def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # A similar pair that no other key has met shares more of these units than either set's slack.
-            for r in _gathered(batches, OWED):
-                r = r[np.lexsort((r["b"], r["a"]))]
-                at = np.flatnonzero(np.r_[True, (r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1])])
-                keep = np.add.reduceat(r["units"].astype(np.int64), at) >= np.minimum.reduceat(r["need"], at)
-                r = r[at[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(r["a"].astype(np.int64)), pa.array(r["b"].astype(np.int64))], names=["a", "b"])
-
-        return self.scratch.cut(_exchange(packed.select("m").mapInArrow(cross, "block int, data binary"), n_blocks).mapInArrow(enough, "a long, b long"))
+        p, q = (flat.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in flat.columns[1:])) for x in "ab")
+        near = (F.col("small_a") * self.percent <= F.col("large_b") * 100) & (F.col("small_b") * self.percent <= F.col("large_a") * 100)
+        both = p.join(q, "grp").where((F.col("who_a") < F.col("who_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("side_a").bitwiseOR(F.col("side_b")).bitwiseAND(1) == 1) & near)
+        return self.scratch.cut(both.select(F.col("who_a").alias("a"), F.col("who_b").alias("b")).distinct())
 
     def representatives(self) -> DataFrame:
         """The rows of ``docs`` that stand for the components, in all their columns.
@@ -579,18 +714,6 @@ class Join:
         )
 
 
-def scratch_groups(large: DataFrame) -> DataFrame:
-    """``group, who``: large groups as arrays of packed members, under a number of their content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gs = [np.frombuffer(x, "<u8") for x in b.column(1).to_pylist()]
-            names = [int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "little", signed=True) for g in gs]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([g.astype(np.int64) for g in gs], pa.list_(pa.int64()))], names=["group", "who"])
-
-    return large.mapInArrow(run, "group long, who array<long>")
-
-
 def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
     """``x, label``: the smallest key reachable from each linked key.
 

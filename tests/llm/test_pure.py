@@ -319,8 +319,31 @@ def test_similar_sets_share_a_key():
         a, b = np.unique(base), np.unique(other)
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both):
-            ka, kb = (np.concatenate([k for k, _ in jaccard.set_keys(s, bands)]) if len(s) >= 4 else np.zeros(0) for s in (a, b))
-            assert len(np.intersect1d(ka, kb)) or (a.tolist() == b.tolist())
+            if a.tolist() == b.tolist() or len(a) < 4 or len(b) < 4:
+                continue
+            met = 0
+            for (ka, fa), (kb, fb) in ((x, y) for x in jaccard.set_keys(a, bands) for y in jaccard.set_keys(b, bands)):
+                same, i, j = np.intersect1d(ka, kb, return_indices=True)
+                if len(same) and (fa[0] | fb[0]) & jaccard.OWN:
+                    met += int((1 + ((fa[i] & jaccard.TWO) > 0)).sum())
+                    assert met >= max(fa[0] & jaccard.NEED, fb[0] & jaccard.NEED)
+            assert met
+
+
+def test_hot_keys_of_a_task_leave_one_member():
+    rng = np.random.default_rng(8)
+    rows = np.zeros(3000, jaccard.KEY)
+    rows["key"] = np.where(np.arange(3000) < 1000, 7, rng.integers(100, 3000, 3000))
+    rows["low"], rows["flags"] = rng.permutation(3000), jaccard.OWN | 2
+    left, blocks, pairs, shares = jaccard.presorted(rows, np.full(3000, 3, np.int32))
+    hot = left[left["key"] == 7]
+    assert len(hot) == 1 and hot["flags"][0] & jaccard.HOT and (blocks == 3).all()
+    assert (shares["group"] == (3 << 32 | 7)).sum() == 1000 and len(pairs) >= 999
+    # The block that gets the member charges the others that it meets there.
+    other = np.zeros(2, jaccard.KEY)
+    other["key"], other["low"], other["flags"] = 7, [5000, 5001], jaccard.OWN | 2
+    met, more = jaccard.meet(np.concatenate([hot, other]), 3)
+    assert len(met) == 2 and sorted(more["side"] >> np.uint64(1)) == [5000, 5001]
 
 
 def test_word_hashes_tell_words_apart():

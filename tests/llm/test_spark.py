@@ -193,6 +193,20 @@ def test_components_with_hot_keys_by_brute_force(spark):
     assert got == brute_components(rows)[0]
 
 
+def test_components_where_short_ids_collide(spark, monkeypatch):
+    """Similar classes of one short id never meet in a key; they are tried all the same."""
+    monkeypatch.setattr(jaccard, "short_id", lambda key: key[0] % 4)
+    rows = corpus(4)[:80]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    j = jaccard.Join(df, "doc_id", "text", 5, 80)
+    classes = {i: jaccard.class_key(jaccard.shingle_set(t)) for i, t in rows}
+    j.classes = spark.createDataFrame([(bytearray(k), k[0] % 4, i, 1) for i, k in classes.items()], "ckey binary, who long, rep long, n long").dropDuplicates(["ckey"])
+    empty = spark.createDataFrame([], "block int, kind int, data binary")
+    lost = spark.createDataFrame([], "side long, lost long, need long")
+    pairs = {tuple(r) for r in j._candidates(empty, lost, 4).collect()}
+    assert pairs == {(w, w) for w in range(4)}
+
+
 def test_nearest_with_absent_and_repeated_rows(spark):
     rows = [(1, [1.0, -1.0, 1.0]), (2, [1.0, -1.0, 1.0]), (2, [1.0, -1.0, 1.0]), (3, [-1.0, None, 1.0]), (None, [1.0, 1.0, 1.0]), (4, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
