@@ -20,8 +20,9 @@ unseen.  A key that more than ``BIG`` classes share is hot: it gives its
 members with one of them only, and charges all of them its units, which are
 taken off the need of their pairs.  A task finds what is hot among its own
 keys first and sends on one member, so a key of a third of all classes is spread.  A pair that met in hot keys alone has lost as many units as it
-needs on both sides; such pairs come from the smallest hot keys of the sets
-that lost so much (the prefix principle), unless one component holds both.
+needs on both sides; the sets that lost so much are cut anew into segments of
+a shingle each, and those of different components that share one of their
+rarest become candidates (the prefix principle).
 Candidates are verified on the whole sets, one for each class first, so that
 a group of near copies falls into one component by a linear number of pairs.
 Sets are compared by 64-bit hashes of their shingles.
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +54,9 @@ BIG = 16
 BLOCK_BYTES, MOST_BLOCKS, LARGEST = 4 << 20, 4096, 48 << 20
 #: Classes of a block of a family, whose sets a task holds together with another block's.
 FAMILY = 64
+#: Counters of shingles, a byte each, by which the rarest are told.
+COUNTER_BITS = 22
+COUNTERS = 1 << COUNTER_BITS
 #: Key records that a task sorts at once.
 FLUSH = 1_500_000
 #: Most ids (8 to 16 bytes each) that are broadcast; more are joined by a shuffle.
@@ -553,24 +557,34 @@ class Join:
         return self.scratch.cut(one.where("label = other AND linked").select("who", F.xxhash64("label").alias("label")))
 
     def apart(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs that no component holds yet."""
+        """Pairs that no component holds yet, with the label of a."""
         la, lb = (known.select(F.col("who").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
         both = pairs.join(la, "a", "left").join(lb, "b", "left")
-        return both.where("la IS NULL OR lb IS NULL OR la <> lb").select("a", "b")
+        return both.where("la IS NULL OR lb IS NULL OR la <> lb").select("a", "b", "units", F.coalesce("la", "a").alias("la"))
 
     def linked(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links that connect what the pairs connect, and the components' labels.
 
-        Each class is first tried with one candidate; what a component then
-        holds needs no more, and all pairs that are left follow.
+        Each class is first tried with the candidate that it met in most
+        units; what a component then holds needs no more.  Next comes the best
+        candidate of each class in each component that it may belong to, and
+        last all pairs that are left.
         """
         sets = self.fetch(self.scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("who")).distinct()))
-        first = self.scratch.cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        links = self.verify(first, sets)
-        labels = components(links, self.scratch)
-        left = self.apart(pairs.join(first, ["a", "b"], "left_anti"), self.named(labels))
-        links = links.unionByName(self.verify(self.scratch.cut(left), sets))
-        return links, components(links, self.scratch)
+        links, labels, left = None, None, pairs
+        for keys in (["b"], ["b", "la"], None):
+            if labels is not None:
+                left = self.scratch.cut(self.apart(left, self.named(labels)))
+                if left.isEmpty():
+                    break
+            now = left.select("a", "b")
+            if keys:
+                now = self.scratch.cut(left.groupBy(*keys).agg(F.max(F.struct("units", (-F.col("a")).alias("_a"))).alias("m")).select((-F.col("m._a")).alias("a"), "b"))
+            new = self.verify(now, sets)
+            links = new if links is None else links.unionByName(new)
+            labels = components(links, self.scratch)
+            left = left.select("a", "b", "units").join(now, ["a", "b"], "left_anti")
+        return links, labels
 
     def run(self) -> DataFrame:
         return self._result(self.labels())
@@ -589,10 +603,7 @@ class Join:
         rest = self._rest(met, lost, labels)
         scratch.drop(met_path)
         if rest is not None:
-            ids = scratch.cut(rest.select(F.explode(F.array("a", "b")).alias("who")).distinct())
-            sets = self.fetch(ids)
-            links = links.unionByName(self.verify(rest, sets))
-            labels = components(links, scratch)
+            labels = components(links.unionByName(self.verify(*rest)), scratch)
         return labels
 
     def _lost(self, met: DataFrame) -> DataFrame:
@@ -611,7 +622,7 @@ class Join:
         return self.scratch.cut(parts.groupBy("side").agg(F.sum("lost").alias("lost"), F.min("need").alias("need")))
 
     def _candidates(self, met: DataFrame, lost: DataFrame, n_blocks: int) -> DataFrame:
-        """Pairs of classes that met in as many units as both their needs ask for, less what hot keys cost them."""
+        """``a, b, units`` of classes that met in as many units as both their needs ask for, less what hot keys cost them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, r in _gathered(batches, MET):
@@ -623,19 +634,20 @@ class Join:
         for c in "ab":
             side = lost.select(F.col("side").alias(c), F.col("lost").alias(f"lost_{c}"))
             pairs = pairs.join(hint(side), c, "left").where(F.col("units") >= F.col(f"need_{c}") - F.coalesce(f"lost_{c}", F.lit(0))).drop(f"lost_{c}")
-        found = pairs.select(*(F.shiftrightunsigned(c, 1).alias(c) for c in "ab"))
+        found = pairs.select(*(F.shiftrightunsigned(c, 1).alias(c) for c in "ab"), "units")
         # Classes that share a short id never meet in a key, so they are always tried.
-        alike = self.classes.groupBy("who").count().where("count > 1").select(F.col("who").alias("a"), F.col("who").alias("b"))
+        alike = self.classes.groupBy("who").count().where("count > 1").select(F.col("who").alias("a"), F.col("who").alias("b"), F.lit(0).cast("long").alias("units"))
         return self.scratch.cut(found.unionByName(alike))
 
-    def _rest(self, met: DataFrame, lost: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Pairs that may have met in hot keys only: both sides have lost as many units as they need.
+    def _rest(self, met: DataFrame, lost: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """Pairs that may have met in hot keys only, and their sets: both sides have lost as many units as they need.
 
-        Such a pair shares hot keys of as many units as either side needs, so
-        by the prefix principle it shares one of the first few of either,
-        smallest first; keys whose members lie in one component are left out.
+        The sets that lost so much in keys of several components are cut anew,
+        into segments of a shingle each, of which only the rarest count: two
+        similar sets share one among the first of either, in any order of the
+        universe (the prefix principle).
         """
-        short = self.scratch.cut(lost.where("lost >= need").select("side"))
+        short = self.scratch.cut(lost.where("lost >= need").select("side", "need"))
         n_short = short.count()
         if not n_short:
             return None
@@ -645,24 +657,84 @@ class Join:
             for b in batches:
                 for raw in b.column(0).to_pylist():
                     r = np.frombuffer(raw, SHARE)
-                    yield pa.RecordBatch.from_arrays([pa.array(r[c].astype(np.int64)) for c in SHARE.names], names=["grp", "side", "cost", "need"])
+                    yield pa.RecordBatch.from_arrays([pa.array(r[c].astype(np.int64)) for c in ("group", "side", "cost")], names=["grp", "side", "cost"])
 
-        flat = met.where(F.col("kind") == SHARES).select("data").mapInArrow(unpack, "grp long, side long, cost long, need long")
+        flat = met.where(F.col("kind") == SHARES).select("data").mapInArrow(unpack, "grp long, side long, cost long").join(hint(short), "side")
         known = self.named(labels)
-        sizes = self.classes.groupBy("who").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-        flat = flat.join(hint(short), "side", "left_semi").withColumn("who", F.shiftrightunsigned("side", 1))
-        flat = self.scratch.cut(flat.join(known, "who", "left").withColumn("label", F.coalesce("label", "who")))
-        several = flat.groupBy("grp").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("size")).where("p <> q").select("grp", "size")
-        flat = flat.join(several, "grp")
-        order = Window.partitionBy("side").orderBy("size", "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        flat = flat.withColumn("upto", F.sum("cost").over(order)).withColumn("all", F.sum("cost").over(Window.partitionBy("side")))
-        flat = self.scratch.cut(flat.where("upto - cost <= all - need").join(sizes, "who").select("grp", "side", "who", "label", "small", "large"))
-        if flat.isEmpty():
+        flat = flat.withColumn("who", F.shiftrightunsigned("side", 1)).join(known, "who", "left")
+        flat = self.scratch.cut(flat.select("grp", "side", "who", "cost", "need", F.coalesce("label", "who").alias("label")))
+        several = flat.groupBy("grp").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("grp")
+        owing = flat.join(several, "grp", "left_semi").groupBy("side", "who", "label").agg(F.sum("cost").alias("cost"), F.min("need").alias("need"))
+        owing = self.scratch.cut(owing.where("cost >= need").select("who", "label").distinct())
+        if owing.isEmpty():
             return None
-        p, q = (flat.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in flat.columns[1:])) for x in "ab")
-        near = (F.col("small_a") * self.percent <= F.col("large_b") * 100) & (F.col("small_b") * self.percent <= F.col("large_a") * 100)
-        both = p.join(q, "grp").where((F.col("who_a") < F.col("who_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("side_a").bitwiseOR(F.col("side_b")).bitwiseAND(1) == 1) & near)
-        return self.scratch.cut(both.select(F.col("who_a").alias("a"), F.col("who_b").alias("b")).distinct())
+        sets = self.fetch(owing.select("who"))
+        return self._rarest(sets, owing), sets
+
+    def _rarest(self, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of sets of different components that share one of their first shingles, by rising counts among these sets.
+
+        Counts are kept for ``COUNTERS`` hashes of shingles, so what goes to
+        the driver and back is bounded; the order only saves work.
+        """
+        percent = self.percent
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(COUNTERS, np.uint16)
+            for b in batches:
+                for raw in b.column(0).to_pylist():
+                    at = np.unique((np.frombuffer(raw, np.uint64) >> U(64 - COUNTER_BITS)).astype(np.int64))
+                    own[at] = np.minimum(own[at], 254) + 1
+            at = np.flatnonzero(own)
+            edge = np.searchsorted(at, np.arange(0, COUNTERS + 1, COUNTERS // 64)).tolist()
+            for k, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                if y > x:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at[x:y].astype("<u4").tobytes() + own[at[x:y]].astype(np.uint8).tobytes()], pa.binary())], names=["block", "data"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    n = len(raw) // 5
+                    at = np.frombuffer(raw, "<u4", n).astype(np.int64) - k * (COUNTERS // 64)
+                    own = sums.setdefault(k, np.zeros(COUNTERS // 64, np.uint16))
+                    own[at] = np.minimum(own[at] + np.frombuffer(raw, np.uint8, n, 4 * n), 255)
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["block", "data"])
+
+        table = np.zeros(COUNTERS, np.uint8)
+        for r in sets.select("set").mapInArrow(count, "block int, data binary").repartition(16, "block").mapInArrow(add, "block int, data binary").collect():  # COUNTERS bytes
+            table[r["block"] * (COUNTERS // 64) :][: COUNTERS // 64] = np.frombuffer(r["data"], np.uint8)
+        sent = self.spark.sparkContext.broadcast(table)
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = sent.value
+            for b in batches:
+                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+                for who, label, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    s = np.frombuffer(raw, np.uint64)
+                    n = len(s)
+                    c = counts[(s >> U(64 - COUNTER_BITS)).astype(np.int64)]
+                    # As the larger of a pair a set shares percent of itself, as the smaller 2 percent / (100 + percent).
+                    probe, index = (n - -(-n * x // y) + 1 for x, y in ((percent, 100), (2 * percent, 100 + percent)))
+                    order = np.argsort(c, kind="stable")[:probe]
+                    keep = c[order] > 1
+                    got = s[order[keep]].astype(np.int64), np.flatnonzero(keep) < index
+                    for col, x in zip(cols, (got[0], np.full(len(got[0]), who), np.full(len(got[0]), label), np.full(len(got[0]), n), got[1]), strict=True):
+                        col.append(x)
+                types = (np.int64, np.int64, np.int64, np.int64, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t)) for x, t in zip(cols, types, strict=True)], names=["grp", "who", "label", "n", "leads"])
+
+        flat = sets.select("who", "set").join(labels, "who").select("who", "label", "set").mapInArrow(first, "grp long, who long, label long, n long, leads boolean")
+        flat = self.scratch.cut(flat)
+        # Components are paired first, so that a large one's members are not paired with each other.
+        names = flat.groupBy("grp", "label").agg(F.max("leads").alias("leads"))
+        p, q = (names.select("grp", F.col("label").alias(f"label_{x}"), F.col("leads").alias(f"some_{x}")) for x in "ab")
+        unlike = p.join(q, "grp").where("label_a < label_b AND (some_a OR some_b)").select("grp", "label_a", "label_b")
+        left, right = (flat.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in flat.columns[1:])) for x in "ab")
+        both = unlike.join(left, ["grp", "label_a"]).join(right, ["grp", "label_b"])
+        both = both.where(f"(n_a <= n_b AND leads_a AND n_b * {percent} <= n_a * 100) OR (n_b <= n_a AND leads_b AND n_a * {percent} <= n_b * 100)")
+        return self.scratch.cut(both.select(F.least("who_a", "who_b").alias("a"), F.greatest("who_a", "who_b").alias("b")).distinct())
 
     def representatives(self) -> DataFrame:
         """The rows of ``docs`` that stand for the components, in all their columns.
