@@ -524,8 +524,8 @@ class Join:
         pa_, pb = (of.select(F.col("who").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
         dealt = pairs.join(hint(pa_), "a").join(hint(pb), "b").select(F.xxhash64(F.least("part_a", "part_b"), F.greatest("part_a", "part_b")).alias("part"), "a", "b")
         dealt = self.scratch.cut(dealt)
-        needed = dealt.select("part", F.explode(F.array("a", "b")).alias("who")).distinct()
-        sent = needed.join(sets, "who").select("part", F.lit(0).alias("kind"), F.col("who").alias("a"), F.lit(None).cast("long").alias("b"), "ckey", "set")
+        needed = self.scratch.cut(dealt.select("part", F.explode(F.array("a", "b")).alias("who")).distinct())
+        sent = sets.join(F.broadcast(needed) if needed.count() <= MOST_IDS else needed, "who").select("part", F.lit(0).alias("kind"), F.col("who").alias("a"), F.lit(None).cast("long").alias("b"), "ckey", "set")
         asked = dealt.select("part", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("ckey"), F.lit(None).cast("binary").alias("set"))
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -562,16 +562,15 @@ class Join:
         both = pairs.join(la, "a", "left").join(lb, "b", "left")
         return both.where("la IS NULL OR lb IS NULL OR la <> lb").select("a", "b", "units", F.coalesce("la", "a").alias("la"))
 
-    def linked(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links that connect what the pairs connect, and the components' labels.
+    def linked(self, pairs: DataFrame, sets: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Links, those before included, that connect what the pairs connect, and the components' labels.
 
         Each class is first tried with the candidate that it met in most
         units; what a component then holds needs no more.  Next comes the best
         candidate of each class in each component that it may belong to, and
         last all pairs that are left.
         """
-        sets = self.fetch(self.scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("who")).distinct()))
-        links, labels, left = None, None, pairs
+        labels, left = None, pairs
         for keys in (["b"], ["b", "la"], None):
             if labels is not None:
                 left = self.scratch.cut(self.apart(left, self.named(labels)))
@@ -599,11 +598,13 @@ class Join:
         self.rows = scratch.cut(met.where(F.col("kind") == ROW).select("doc_id", "n", "ckey", "who"))
         self.classes = scratch.cut(self.rows.where(F.col("ckey").isNotNull()).groupBy("ckey", "who").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
         lost = self._lost(met)
-        links, labels = self.linked(self._candidates(met, lost, n_blocks))
+        pairs = self._candidates(met, lost, n_blocks)
+        sets = self.fetch(scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("who")).distinct()))
+        links, labels = self.linked(pairs, sets)
         rest = self._rest(met, lost, labels)
         scratch.drop(met_path)
         if rest is not None:
-            labels = components(links.unionByName(self.verify(*rest)), scratch)
+            labels = self.linked(*rest, links)[1]
         return labels
 
     def _lost(self, met: DataFrame) -> DataFrame:
@@ -715,26 +716,24 @@ class Join:
                     s = np.frombuffer(raw, np.uint64)
                     n = len(s)
                     c = counts[(s >> U(64 - COUNTER_BITS)).astype(np.int64)]
-                    # As the larger of a pair a set shares percent of itself, as the smaller 2 percent / (100 + percent).
-                    probe, index = (n - -(-n * x // y) + 1 for x, y in ((percent, 100), (2 * percent, 100 + percent)))
-                    order = np.argsort(c, kind="stable")[:probe]
+                    order = np.argsort(c, kind="stable")[: n - -(-n * percent // 100) + 1]
                     keep = c[order] > 1
-                    got = s[order[keep]].astype(np.int64), np.flatnonzero(keep) < index
+                    got = s[order[keep]].astype(np.int64), np.flatnonzero(keep)
                     for col, x in zip(cols, (got[0], np.full(len(got[0]), who), np.full(len(got[0]), label), np.full(len(got[0]), n), got[1]), strict=True):
                         col.append(x)
-                types = (np.int64, np.int64, np.int64, np.int64, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t)) for x, t in zip(cols, types, strict=True)], names=["grp", "who", "label", "n", "leads"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in cols], names=["grp", "who", "label", "n", "pos"])
 
-        flat = sets.select("who", "set").join(labels, "who").select("who", "label", "set").mapInArrow(first, "grp long, who long, label long, n long, leads boolean")
+        flat = sets.select("who", "set").join(labels, "who").select("who", "label", "set").mapInArrow(first, "grp long, who long, label long, n long, pos long")
         flat = self.scratch.cut(flat)
         # Components are paired first, so that a large one's members are not paired with each other.
-        names = flat.groupBy("grp", "label").agg(F.max("leads").alias("leads"))
-        p, q = (names.select("grp", F.col("label").alias(f"label_{x}"), F.col("leads").alias(f"some_{x}")) for x in "ab")
-        unlike = p.join(q, "grp").where("label_a < label_b AND (some_a OR some_b)").select("grp", "label_a", "label_b")
+        names = flat.select("grp", "label").distinct()
+        unlike = names.withColumnRenamed("label", "label_a").join(names.withColumnRenamed("label", "label_b"), "grp").where("label_a < label_b")
         left, right = (flat.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in flat.columns[1:])) for x in "ab")
         both = unlike.join(left, ["grp", "label_a"]).join(right, ["grp", "label_b"])
-        both = both.where(f"(n_a <= n_b AND leads_a AND n_b * {percent} <= n_a * 100) OR (n_b <= n_a AND leads_b AND n_a * {percent} <= n_b * 100)")
-        return self.scratch.cut(both.select(F.least("who_a", "who_b").alias("a"), F.greatest("who_a", "who_b").alias("b")).distinct())
+        # Similar sets share ``least`` shingles, so before the first that they share neither has more than the rest.
+        least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+        both = both.where((F.col("pos_a") + least <= F.col("n_a")) & (F.col("pos_b") + least <= F.col("n_b")))
+        return self.scratch.cut(both.groupBy(F.least("who_a", "who_b").alias("a"), F.greatest("who_a", "who_b").alias("b")).agg(F.count("*").alias("units")))
 
     def representatives(self) -> DataFrame:
         """The rows of ``docs`` that stand for the components, in all their columns.

@@ -204,7 +204,7 @@ def test_components_where_short_ids_collide(spark, monkeypatch):
     empty = spark.createDataFrame([], "block int, kind int, data binary")
     lost = spark.createDataFrame([], "side long, lost long, need long")
     pairs = {tuple(r) for r in j._candidates(empty, lost, 4).collect()}
-    assert pairs == {(w, w) for w in range(4)}
+    assert pairs == {(w, w, 0) for w in range(4)}
 
 
 def test_nearest_with_absent_and_repeated_rows(spark):
