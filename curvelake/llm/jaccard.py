@@ -57,6 +57,8 @@ FAMILY = 64
 #: Counters of shingles, a byte each, by which the rarest are told.
 COUNTER_BITS = 22
 COUNTERS = 1 << COUNTER_BITS
+#: Sets that share a rare shingle which are tried with one another first.
+PART = 8
 #: Key records that a task sorts at once.
 FLUSH = 1_500_000
 #: Most ids (8 to 16 bytes each) that are broadcast; more are joined by a shuffle.
@@ -486,6 +488,10 @@ def met_keys(keys: DataFrame, n_blocks: int, big: int) -> DataFrame:
     return _exchange(keys, n_blocks).mapInArrow(run, keys.schema)
 
 
+#: What one candidate is tried for at a time: each class, each class and component, and all the rest.
+TURNS = (["b"], ["b", "la"], None)
+
+
 class Join:
     """One run of the join over a table."""
 
@@ -562,7 +568,7 @@ class Join:
         both = pairs.join(la, "a", "left").join(lb, "b", "left")
         return both.where("la IS NULL OR lb IS NULL OR la <> lb").select("a", "b", "units", F.coalesce("la", "a").alias("la"))
 
-    def linked(self, pairs: DataFrame, sets: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def linked(self, pairs: DataFrame, sets: DataFrame, links: DataFrame | None = None, labels: DataFrame | None = None, turns: tuple = TURNS) -> tuple[DataFrame, DataFrame]:
         """Links, those before included, that connect what the pairs connect, and the components' labels.
 
         Each class is first tried with the candidate that it met in most
@@ -570,8 +576,8 @@ class Join:
         candidate of each class in each component that it may belong to, and
         last all pairs that are left.
         """
-        labels, left = None, pairs
-        for keys in (["b"], ["b", "la"], None):
+        left = pairs
+        for keys in turns:
             if labels is not None:
                 left = self.scratch.cut(self.apart(left, self.named(labels)))
                 if left.isEmpty():
@@ -604,7 +610,9 @@ class Join:
         rest = self._rest(met, lost, labels)
         scratch.drop(met_path)
         if rest is not None:
-            labels = self.linked(*rest, links)[1]
+            flat, sets = rest
+            links, labels = self.linked(self._some(flat), sets, links, labels, TURNS[2:])
+            labels = self.linked(self._unlike(flat, labels), sets, links, labels, TURNS[1:])[1]
         return labels
 
     def _lost(self, met: DataFrame) -> DataFrame:
@@ -641,7 +649,7 @@ class Join:
         return self.scratch.cut(found.unionByName(alike))
 
     def _rest(self, met: DataFrame, lost: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """Pairs that may have met in hot keys only, and their sets: both sides have lost as many units as they need.
+        """First shingles of sets that may be in pairs which met in hot keys only, and the sets: either side has lost as many units as it needs.
 
         The sets that lost so much in keys of several components are cut anew,
         into segments of a shingle each, of which only the rarest count: two
@@ -670,10 +678,10 @@ class Join:
         if owing.isEmpty():
             return None
         sets = self.fetch(owing.select("who"))
-        return self._rarest(sets, owing), sets
+        return self._rarest(sets), sets
 
-    def _rarest(self, sets: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of sets of different components that share one of their first shingles, by rising counts among these sets.
+    def _rarest(self, sets: DataFrame) -> DataFrame:
+        """``grp, who, n, pos``: the first shingles of each set, by rising counts among these sets, which a similar set must share one of.
 
         Counts are kept for ``COUNTERS`` hashes of shingles, so what goes to
         the driver and back is bounded; the order only saves work.
@@ -711,30 +719,41 @@ class Join:
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = sent.value
             for b in batches:
-                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-                for who, label, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+                for who, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     s = np.frombuffer(raw, np.uint64)
                     n = len(s)
                     c = counts[(s >> U(64 - COUNTER_BITS)).astype(np.int64)]
                     order = np.argsort(c, kind="stable")[: n - -(-n * percent // 100) + 1]
                     keep = c[order] > 1
                     got = s[order[keep]].astype(np.int64), np.flatnonzero(keep)
-                    for col, x in zip(cols, (got[0], np.full(len(got[0]), who), np.full(len(got[0]), label), np.full(len(got[0]), n), got[1]), strict=True):
+                    for col, x in zip(cols, (got[0], *(np.full(len(got[0]), v) for v in (who, n)), got[1]), strict=True):
                         col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in cols], names=["grp", "who", "label", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in cols], names=["grp", "who", "n", "pos"])
 
-        flat = sets.select("who", "set").join(labels, "who").select("who", "label", "set").mapInArrow(first, "grp long, who long, label long, n long, pos long")
-        flat = self.scratch.cut(flat)
-        # Components are paired first, so that a large one's members are not paired with each other.
-        names = flat.select("grp", "label").distinct()
-        unlike = names.withColumnRenamed("label", "label_a").join(names.withColumnRenamed("label", "label_b"), "grp").where("label_a < label_b")
-        left, right = (flat.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in flat.columns[1:])) for x in "ab")
-        both = unlike.join(left, ["grp", "label_a"]).join(right, ["grp", "label_b"])
-        # Similar sets share ``least`` shingles, so before the first that they share neither has more than the rest.
-        least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+        return self.scratch.cut(sets.select("who", "set").mapInArrow(first, "grp long, who long, n long, pos long"))
+
+    def _meeting(self, both: DataFrame) -> DataFrame:
+        """``a, b, units`` of pairs that may be similar: before the first shingle that they share neither has more than the rest."""
+        least = F.ceil((F.col("n_a") + F.col("n_b")) * self.percent / (100 + self.percent))
         both = both.where((F.col("pos_a") + least <= F.col("n_a")) & (F.col("pos_b") + least <= F.col("n_b")))
         return self.scratch.cut(both.groupBy(F.least("who_a", "who_b").alias("a"), F.greatest("who_a", "who_b").alias("b")).agg(F.count("*").alias("units")))
 
+    def _some(self, flat: DataFrame) -> DataFrame:
+        """A linear number of pairs, by which groups of near copies fall together: a group is dealt into parts of about ``PART``, anew for each shingle."""
+        sizes = flat.groupBy("grp").agg(F.ceil(F.count("*") / PART).alias("cuts"))
+        dealt = self.scratch.cut(flat.join(sizes, "grp").withColumn("cut", F.pmod(F.xxhash64("grp", "who"), "cuts")))
+        left, right = (dealt.select("grp", "cut", *(F.col(c).alias(f"{c}_{x}") for c in ("who", "n", "pos"))) for x in "ab")
+        return self._meeting(left.join(right, ["grp", "cut"]).where("who_a < who_b"))
+
+    def _unlike(self, flat: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of different components.  Components are paired first, so that a large one's members are not paired with each other."""
+        flat = self.scratch.cut(flat.join(self.named(labels), "who", "left").withColumn("label", F.coalesce("label", "who")))
+        names = flat.select("grp", "label").distinct()
+        unlike = names.withColumnRenamed("label", "label_a").join(names.withColumnRenamed("label", "label_b"), "grp").where("label_a < label_b")
+        left, right = (flat.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "who", "n", "pos"))) for x in "ab")
+        return self._meeting(unlike.join(left, ["grp", "label_a"]).join(right, ["grp", "label_b"]))
+
     def representatives(self) -> DataFrame:
         """The rows of ``docs`` that stand for the components, in all their columns.
 
