@@ -40,9 +40,9 @@ SHARED = 2_000
 HEAD = 300_000
 #: Rounds of Baum-Welch, each over all training documents.
 ROUNDS = 14
-#: Tokens of one padded group of documents, and of a training segment.
-GROUP = 120_000
-SEGMENT = 20_000
+#: Tokens of one padded group of documents and of the batches taken together, and of a segment of a longer sequence.
+GROUP = 1_000_000
+SEGMENT = 100_000
 END = b"\n"  # no word is a line feed
 ADDED = 0.5
 
@@ -71,16 +71,18 @@ class Vocabulary:
         return self.n + ADDED * (self.v + 1)
 
 
-_tables: dict[int, dict[bytes, int]] = {}
+_tables: dict[tuple, tuple[dict[bytes, int], np.ndarray]] = {}
 
 
-def _table(words: bytes) -> dict[bytes, int]:
-    """Word to its place in the head; made once in a process."""
-    key = zlib.crc32(words) ^ len(words)
+def _table(voc: Vocabulary, words: bytes) -> tuple[dict[bytes, int], np.ndarray]:
+    """Word to its place in the head, and each place's class; made once in a process."""
+    key = zlib.crc32(words), len(words), voc.own, voc.shared
     if key not in _tables:
         _tables.clear()
         # A word holds no space, so spaces part the words; the end is the one line feed.
-        _tables[key] = {w: i for i, w in enumerate(words.split(b" "))} if words else {}
+        names = words.split(b" ") if words else []
+        classes = [i if i < voc.own else voc.shared_class(w) for i, w in enumerate(names)]
+        _tables[key] = {w: i for i, w in enumerate(names)}, np.array(classes, np.int64)
     return _tables[key]
 
 
@@ -139,7 +141,7 @@ def encode(docs: DataFrame, voc: Vocabulary, id_col: str, text_col: str, held: F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = sent.value
-        place = _table(words)
+        place, classes = _table(shell, words)
         log_head = np.log10((counts + ADDED) / total)
         log_count = np.log10(counts + ADDED)
         at = TaskContext.get().partitionId() << 33
@@ -150,8 +152,8 @@ def encode(docs: DataFrame, voc: Vocabulary, id_col: str, text_col: str, held: F
                 ts = tokens(t)
                 found = np.array([place.get(w, -1) for w in ts], np.int64)
                 missing = np.flatnonzero(found < 0)
-                cls = found.copy()
-                for i in np.flatnonzero((found < 0) | (found >= own)).tolist():
+                cls = classes[found] if len(classes) else found.copy()
+                for i in missing.tolist():
                     cls[i] = shell.shared_class(ts[i])
                 inside = found[found >= 0]
                 rows["n"].append(len(ts))
@@ -182,10 +184,15 @@ class Hmm:
     emit: np.ndarray
 
 
-def first_model(class_totals: np.ndarray, k: int, seed: int = 3) -> Hmm:
+def class_mass(totals: np.ndarray, own: int) -> np.ndarray:
+    """Totals with the half count of an unseen word; classes of their own that no word has got have none."""
+    return np.where((totals > 0) | (np.arange(len(totals)) >= own), totals + ADDED, 0.0)
+
+
+def first_model(mass: np.ndarray, k: int, seed: int = 3) -> Hmm:
     """Class shares, tilted by a seeded factor for each state, and states that last."""
     rng = np.random.default_rng(seed)
-    emit = (class_totals[:, None] + ADDED) * rng.uniform(0.5, 1.5, (len(class_totals), k))
+    emit = mass[:, None] * rng.uniform(0.5, 1.5, (len(mass), k))
     move = np.full((k, k), 0.1 / max(1, k - 1)) if k > 1 else np.ones((1, 1))
     if k > 1:
         np.fill_diagonal(move, 0.9)
@@ -193,35 +200,59 @@ def first_model(class_totals: np.ndarray, k: int, seed: int = 3) -> Hmm:
 
 
 def _groups(seqs: list[np.ndarray], most: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Padded (time, document) matrices of documents of like length, longest first."""
-    order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
+    """Sequences of like length, longest first: which, their classes one time after the other, and how many still run at each time."""
+    lens = np.fromiter(map(len, seqs), np.int64, len(seqs))
+    order = np.argsort(-lens, kind="stable")
     at = 0
     while at < len(order):
-        longest = max(1, len(seqs[order[at]]))
-        take = order[at : at + max(1, min(512, most // longest))]
-        lens = np.array([len(seqs[i]) for i in take])
+        longest = int(lens[order[at]])
+        take = order[at : at + (1 if longest > SEGMENT else max(1, most // longest))]
         m = np.zeros((longest, len(take)), np.int64)
-        for j, i in enumerate(take):
-            m[: lens[j], j] = seqs[i]
-        yield take, m, lens
+        for j, i in enumerate(take.tolist()):
+            m[: lens[i], j] = seqs[i]
+        live = np.searchsorted(-lens[take], -np.arange(longest), side="left")
+        yield take.tolist(), m[np.arange(len(take))[None, :] < live[:, None]], live
         at += len(take)
 
 
+def _forward(model: Hmm, cls: np.ndarray, live: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward chances of all times, their scales, the emissions, and where each time starts."""
+    k = len(model.start)
+    emit = model.emit[cls]
+    alpha, scale, ones = np.empty_like(emit), np.empty(len(cls)), np.ones(k)
+    edge = np.concatenate([[0], np.cumsum(live)])
+    at = edge.tolist()
+    for t in range(len(live)):
+        a, b = at[t], at[t + 1]
+        x = alpha[a:b]
+        if t:
+            np.dot(alpha[at[t - 1] : at[t - 1] + b - a], model.move, out=x)
+        else:
+            x[:] = model.start if before is None else before @ model.move
+        x *= emit[a:b]
+        np.dot(x, ones, out=scale[a:b])
+        x /= scale[a:b, None]
+    return alpha, scale, emit, edge
+
+
 def forward(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     """log10 of the chance of each class sequence, by the scaled forward recursion."""
     out = np.zeros(len(seqs))
-    for take, m, lens in _groups(seqs, GROUP):
-        alpha = np.broadcast_to(model.start, (len(take), len(model.start)))
-        logs = np.zeros(len(take))
-        # Documents are sorted by falling length, so those still running are the first ones.
-        live = np.searchsorted(-lens, -np.arange(len(m)), side="left")
-        for t in range(len(m)):
-            n = live[t]
-            a = alpha[:n] * model.emit[m[t, :n]] if t == 0 else (alpha[:n] @ model.move) * model.emit[m[t, :n]]
-            s = a.sum(1)
-            logs[:n] += np.log10(s)
-            alpha = a / s[:, None]
-        out[take] = logs
+    for take, cls, live in _groups(seqs, GROUP):
+        if len(live) > SEGMENT:  # one sequence, in parts
+            before = None
+            for a in range(0, len(cls), SEGMENT):
+                part = cls[a : a + SEGMENT]
+                alpha, scale, _, _ = _forward(model, part, np.ones(len(part), np.int64), before)
+                before = alpha[-1:]
+                out[take] += np.log10(scale).sum()
+            continue
+        _, scale, _, edge = _forward(model, cls, live)
+        logs, sums = np.log10(scale), np.zeros(len(take))
+        at = edge.tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            sums[: b - a] += logs[a:b]
+        out[take] = sums
     return out
 
 
@@ -233,70 +264,78 @@ class Expected:
         self.log = 0.0
 
     def add(self, model: Hmm, seqs: list[np.ndarray]) -> None:
-        """One pass over sequences.
+        """One pass over whole sequences.
 
-        A sequence beyond ``SEGMENT`` tokens is trained in segments: each
-        starts from the state chances that the one before it ended with, so
-        that memory stays bounded.
+        Of one beyond ``SEGMENT`` tokens only the forward chances at the ends
+        of segments are kept; going back, each segment's are made again and the
+        backward chances are handed on, so that counts are exact in bounded memory.
         """
-        starts = [model.start] * len(seqs)
-        firsts = [True] * len(seqs)
-        while seqs:
-            now = [s[:SEGMENT] for s in seqs]
-            ends = self._add(model, now, starts, firsts)
-            more = [i for i, s in enumerate(seqs) if len(s) > SEGMENT]
-            seqs, starts, firsts = [seqs[i][SEGMENT:] for i in more], [ends[i] @ model.move for i in more], [False] * len(more)
-
-    def _add(self, model: Hmm, seqs: list[np.ndarray], starts: list[np.ndarray], firsts: list[bool]) -> dict[int, np.ndarray]:
-        k = len(model.start)
-        ends: dict[int, np.ndarray] = {}
-        for take, m, lens in _groups(seqs, GROUP):
-            steps, width = m.shape
-            live = np.searchsorted(-lens, -np.arange(steps), side="left")
-            alpha = np.zeros((steps, width, k))
-            scale = np.ones((steps, width))
-            before = np.array([starts[i] for i in take])
-            for t in range(steps):
-                n = live[t]
-                a = (before if t == 0 else before[:n] @ model.move) * model.emit[m[t, :n]]
-                s = a.sum(1)
-                scale[t, :n] = s
-                before = alpha[t, :n] = a / s[:, None]
-            for j, i in enumerate(take):
-                ends[i] = alpha[lens[j] - 1, j]
-            self.log += float(np.log(scale).sum())
-            beta = np.ones((width, k))
-            for t in range(steps - 1, -1, -1):
-                n = live[t]
-                if t + 1 < steps and live[t + 1]:
-                    q = live[t + 1]
-                    w = beta[:q] * model.emit[m[t + 1, :q]] / scale[t + 1, :q, None]
-                    self.move += model.move * (alpha[t, :q].T @ w)
-                    beta[:q] = w @ model.move.T
-                alpha[t, :n] *= beta[:n]
-            for j, i in enumerate(take):
-                if firsts[i]:
-                    self.start += alpha[0, j]
-            mask = np.arange(steps)[:, None] < lens[None, :]
-            cls, g = m[mask], alpha[mask]
-            for z in range(k):
-                self.emit[:, z] += np.bincount(cls, g[:, z], len(self.emit))
-        return ends
-
-    def model(self, class_totals: np.ndarray) -> Hmm:
+        for _, cls, live in _groups(seqs, GROUP):
+            if len(live) <= SEGMENT:
+                self._add(model, cls, live)
+                continue
+            parts, ends = [cls[a : a + SEGMENT] for a in range(0, len(cls), SEGMENT)], [None]
+            for p in parts[:-1]:
+                ends.append(_forward(model, p, np.ones(len(p), np.int64), ends[-1])[0][-1:])
+            after = None
+            for p, before in zip(parts[::-1], ends[::-1], strict=True):
+                after = self._add(model, p, np.ones(len(p), np.int64), before, after)
+
+    def _add(self, model: Hmm, cls: np.ndarray, live: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+        """Counts of a group; ``before`` and ``after`` are the forward and backward chances that it follows and that it ends with."""
+        alpha, scale, emit, edge = _forward(model, cls, live, before)
+        self.log += float(np.log(scale).sum())
+        k, at = len(model.start), edge.tolist()
+        emit /= scale[:, None]
+        beta = np.ones((int(live[0]), k)) if after is None else after.copy()
+        back, moved = np.ascontiguousarray(model.move.T), np.zeros((k, k))
+        for t in range(len(live) - 1, -1, -1):
+            a, b = at[t], at[t + 1]
+            n = b - a
+            w = emit[a:b]
+            w *= beta[:n]
+            alpha[a:b] *= beta[:n]
+            if t:
+                moved += alpha[at[t - 1] : at[t - 1] + n].T @ w
+                np.dot(w, back, out=beta[:n])
+            elif before is None:
+                self.start += alpha[a:b].sum(0)
+            else:
+                moved += before.T @ w
+                beta = w @ back
+        self.move += model.move * moved
+        for z in range(k):
+            self.emit[:, z] += np.bincount(cls, alpha[:, z], len(self.emit))
+        return beta
+
+    def model(self, mass: np.ndarray) -> Hmm:
         """The next model.  Each class keeps a small share in every state, so that no text has chance 0."""
-        share = (class_totals + ADDED) / (class_totals + ADDED).sum()
+        share = mass / mass.sum()
         emit = self.emit + share[:, None] * np.maximum(10.0, 0.01 * self.emit.sum(0))
         move = self.move + 1.0
         start = self.start + 1.0
         return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+def _together(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches of about ``GROUP`` tokens, with their class sequences, so that steps over documents are wide."""
+    held, seqs, size = [], [], 0
+    for b in batches:
+        held.append(b)
+        seqs += [_sequence(x) for x in b.column(at).to_pylist()]
+        size = sum(map(len, seqs))
+        if size >= GROUP:
+            yield held, seqs
+            held, seqs = [], []
+    if held:
+        yield held, seqs
+
+
 def _sequence(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2").astype(np.int64)
+    return np.frombuffer(raw, "<u2")
 
 
-def baum_welch(encoded: DataFrame, model: Hmm, class_totals: np.ndarray) -> Hmm:
+def baum_welch(encoded: DataFrame, model: Hmm, mass: np.ndarray) -> Hmm:
     """One round over all training documents."""
     spark = encoded.sparkSession
     sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))
@@ -305,8 +344,8 @@ def baum_welch(encoded: DataFrame, model: Hmm, class_totals: np.ndarray) -> Hmm:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = Hmm(*sent.value)
         e = Expected(size, k)
-        for b in batches:
-            e.add(now, [_sequence(x) for x in b.column(0).to_pylist()])
+        for _, seqs in _together(batches, 0):
+            e.add(now, seqs)
         # Rows size.. hold the transitions, the last one the starts.
         table = np.concatenate([e.emit, e.move, e.start[None]])
         rows = np.flatnonzero(table.sum(1) > 0)
@@ -319,7 +358,7 @@ def baum_welch(encoded: DataFrame, model: Hmm, class_totals: np.ndarray) -> Hmm:
     table = np.zeros((size + k + 1, k))
     table[summed["row"].to_numpy()] = summed[[f"s{z}" for z in range(k)]].to_numpy()
     e.emit, e.move, e.start = table[:size], table[size:-1], table[-1]
-    return e.model(class_totals)
+    return e.model(mass)
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, own: int = OWN, shared: int = SHARED, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
@@ -351,9 +390,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         class_totals[own + r["k"]] = r["c"]
         mass[r["k"]] += r["m"]
     encoded = scratch.cut(encode(docs, voc, id_col, text_col, held_out))
-    trained = first_model(class_totals, STATES)
+    weights = class_mass(class_totals, own)
+    trained = first_model(weights, STATES)
     for _ in range(rounds):
-        trained = baum_welch(encoded, trained, class_totals)
+        trained = baum_welch(encoded, trained, weights)
     # Rare words: their counts come to them by a join on the word.
     rare = encoded.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.w").alias("word"), F.col("r.n").alias("k"))
     found = rare.join(counts, "word", "left").groupBy("rid").agg(
@@ -367,13 +407,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit, log_mass = sent.value
         model = Hmm(start, move, emit)
-        for b in batches:
-            seqs = [_sequence(x) for x in b.column(len(kept)).to_pylist()]
+        for held, seqs in _together(batches, len(kept)):
             logs = forward(model, seqs)
             # A word of a shared class has the chance (c + 0.5) / the class's mass within it.
             for i, s in enumerate(seqs):
                 logs[i] -= log_mass[s[s >= own] - own].sum()
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(logs)], names=[*kept, "walk"])
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(logs[: b.num_rows])], names=[*kept, "walk"])
+                logs = logs[b.num_rows :]
 
     types = dict(encoded.dtypes)
     walked = encoded.select(*kept, "classes").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in kept) + ", walk double")

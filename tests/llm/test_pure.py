@@ -154,6 +154,31 @@ def test_training_raises_the_likelihood():
     assert hmm.forward(m, seqs).sum() > before + 50
 
 
+def test_long_sequences_in_segments_count_the_same(monkeypatch):
+    rng = np.random.default_rng(11)
+    m = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    seqs = [rng.integers(0, 5, n) for n in (1, 7, 23, 50, 8)]
+    whole, parts = hmm.Expected(5, 3), hmm.Expected(5, 3)
+    whole.add(m, seqs)
+    logs = hmm.forward(m, seqs)
+    monkeypatch.setattr(hmm, "SEGMENT", 7)
+    parts.add(m, seqs)
+    for x in ("emit", "move", "start"):
+        assert np.allclose(getattr(whole, x), getattr(parts, x))
+    assert np.allclose(hmm.forward(m, seqs), logs) and abs(whole.log - parts.log) < 1e-9
+
+
+def test_chances_of_a_small_vocabulary_sum_to_one():
+    totals = np.array([9.0, 4, 0, 0, 2, 0])  # two words of their own, two empty places, two shared classes
+    mass = hmm.class_mass(totals, 4)
+    assert mass.tolist() == [9.5, 4.5, 0, 0, 2.5, 0.5]
+    m = hmm.first_model(mass, 3)
+    e = hmm.Expected(6, 3)
+    e.add(m, [np.array([0, 1, 0, 4]), np.array([1, 1])])
+    for x in (m, e.model(mass)):
+        assert np.allclose(x.emit.sum(0), 1) and (x.emit[[2, 3]] == 0).all() and (x.emit[[0, 1, 4, 5]] > 0).all()
+
+
 # --- tokens
 
 

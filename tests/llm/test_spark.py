@@ -109,6 +109,7 @@ def test_lm_states_come_from_whole_documents(spark):
     totals[: len(top)] = [counts[w] for w in top]
     place = {w: i for i, w in enumerate(top)}
     seqs = [np.array([place[w] for w in hmm.tokens(t)]) for t in texts]
+    totals = hmm.class_mass(totals, 20)
     model = hmm.first_model(totals, hmm.STATES)
     for _ in range(3):
         e = hmm.Expected(25, hmm.STATES)
