@@ -1,4 +1,11 @@
-"""A corpus pipeline: what each stage keeps is written and read again as the next one's documents."""
+"""A corpus pipeline: what each stage keeps is written and read again as the next one's documents.
+
+Every stage takes absent ids and texts, empty and very long texts, rows that
+occur several times, empty tables and further columns, which it hands on (but
+the last, which returns tokens); a column whose name the stage needs for
+itself stays as it is.  An absent text is scored as an empty one, fails the
+quality rules, and is linked with nothing.
+"""
 
 from __future__ import annotations
 
@@ -24,15 +31,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents replicated to the target weights and shuffled, with the number of the copy as last column."""
-    mixed = mixing.mix(docs)
-    return mixed.select(*docs.columns, mixed.columns[len(docs.columns)])
+    """Documents replicated to the target weights and shuffled."""
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with merge-dropout, which each copy of a document draws for itself."""
-    copies = [c for c in docs.columns if c.lstrip("_") == "mix_copy"]
-    return merge_dropout.encode(docs, copy_col=copies[-1] if copies else None)
+    """Token ids with merge-dropout, which each copy of a document draws for itself: rows alike are numbered."""
+    copy = common.free("copy", docs.columns)
+    return merge_dropout.encode(common.numbered(docs, copy), copy_col=copy)
 
 
 STAGES = [

@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from curvelake import ship
 
-#: Rows of one Arrow batch; texts are long, so the default of 10,000 rows could be gigabytes.
+#: Rows and bytes of one Arrow batch at most; texts are long, so the default of 10,000 rows could be gigabytes.
 ARROW_ROWS = 1024
+ARROW_BYTES = 16 << 20
+#: Most keys (8 bytes each) that are broadcast; more are joined by a shuffle.
+MOST_KEYS = 1_000_000
+#: Copies of a row that one task makes.
+COPIES = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,25 +33,29 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch that goes to a Python worker, which must have this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the one that ``spark.checkpoint.dir`` names; only where that is
-    unset (a local session, as in tests) a temporary folder is made for it.
+    It is the one that ``spark.checkpoint.dir`` names, else the context's
+    checkpoint folder.  Only a local session that has neither, as in tests,
+    gets a temporary folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    own = getattr(sc, "_curvelake_shared", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="curvelake-")
-        atexit.register(shutil.rmtree, own, True)
-        sc._curvelake_shared = own
-        sc.setCheckpointDir(own)
-    return own
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    if not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="curvelake-")
+    atexit.register(shutil.rmtree, made, True)
+    sc.setCheckpointDir(made)
+    return made
 
 
 class Scratch:
@@ -83,6 +92,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """All columns, and ``name``: 0, 1, ... among rows that are alike in all columns.
+
+    Only repeated rows move.  They are counted with partial sums and made
+    again from their counts, ``COPIES`` by a task, so a row that a third of
+    the table repeats is neither sorted nor gathered.
+    """
+    columns = docs.columns
+    digest, n, part = (free(f"{name}_{c}", columns) for c in ("hash", "n", "part"))
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c in columns))
+    many = Scratch(docs.sparkSession, "repeats").cut(docs.groupBy(hashed.alias(digest)).count().where("count > 1").select(digest))
+    hint = F.broadcast if many.count() <= MOST_KEYS else (lambda df: df)
+    alone = docs.join(hint(many), hashed == F.col(digest), "left_anti").withColumn(name, F.lit(0).cast("long"))
+    rest = docs.join(hint(many), hashed == F.col(digest), "left_semi").groupBy(*(F.col(f"`{c}`") for c in columns)).agg(F.count("*").alias(n))
+    rest = rest.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES)))).repartition(hashed, F.col(part))
+    last = F.least(F.col(n), (F.col(part) + 1) * COPIES) - 1
+    return alone.unionByName(rest.withColumn(name, F.explode(F.sequence(F.col(part) * COPIES, last))).select(*columns, name))
+
+
+def free(name: str, columns) -> str:
+    """The name with as many ``_`` in front as columns of that name ask for."""
+    while name in columns:
+        name = "_" + name
+    return name
+
+
 def fold(id_col: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; an absent id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % k

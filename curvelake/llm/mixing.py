@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curvelake.llm import common
+
 #: Means above this are split into equal draws, so that the table of the distribution stays short.
 MOST_MEAN = 32.0
 #: Entries of a table: beyond mean 32 the chance left is below 1e-16.
@@ -72,22 +74,24 @@ def mix(
     added, under names with ``_`` in front where ``docs`` has them already.
     Rows are hash-dealt by ``mix_key`` and sorted in each partition.  An absent
     source is a source of its own, which only ``power`` serves; absent ids and
-    texts are hashed as such.  Repeated rows draw alike.  An empty table gives
-    an empty result.
+    texts are hashed as such.  Rows alike in all columns are numbered and draw
+    for themselves; rows alike in id and text only draw alike.  An empty table
+    gives an empty result.
     """
-    taken = set(docs.columns)
+    taken, columns = set(docs.columns), docs.columns
 
     def name(c: str) -> str:
-        while c in taken:
-            c = "_" + c
-        return c
+        return common.free(c, taken)
 
     copy, key = name("mix_copy"), name("mix_key")
     per = rates(docs, source_col=source_col, weights=weights, power=power, total=total)
     src, cdf, draws, body, salt = (name(f"__{c}") for c in ("src", "cdf", "draws", "body", "salt"))
     per = per.select(F.col("_source").alias(src), F.col("cdf").alias(cdf), F.col("draws").alias(draws))
     few = docs.select(source_col).distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
-    rows = docs.withColumn(body, F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.md5(F.col(text_col)), F.lit("-"))))
+    number = name("__number")
+    rows = common.numbered(docs, number)
+    again = F.when(F.col(number) > 0, F.col(number).cast("string"))
+    rows = rows.withColumn(body, F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.md5(F.col(text_col)), F.lit("-")), again)).drop(number)
     if few:
         rows = rows.join(F.broadcast(per), F.col(source_col).eqNullSafe(F.col(src)), "left")
     else:
@@ -102,7 +106,7 @@ def mix(
     count = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, j: a + draw(j))
     rows = rows.withColumn(copy, F.explode(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))))
     rows = rows.withColumn(key, uniform(F.lit(f"o{seed}"), F.col(body), F.col(copy).cast("string")))
-    rows = rows.select(*docs.columns, copy, key)
+    rows = rows.select(*columns, copy, key)
     return rows.repartition(F.col(key)).sortWithinPartitions(key)
 
 
@@ -119,7 +123,8 @@ d AS (SELECT source, greatest(1, ceil(rate / {MOST_MEAN!r}))::INT AS draws, rate
 m AS (SELECT source, draws, rate / draws AS mean FROM d),
 c AS (SELECT source, draws, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM m
       UNION ALL SELECT source, draws, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM c WHERE k < {TABLE}),
-b AS (SELECT *, coalesce(doc_id::VARCHAR, '-') || '|' || coalesce(md5(text), '-') AS body FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) - 1 AS number FROM documents),
+b AS (SELECT * EXCLUDE (number), coalesce(doc_id::VARCHAR, '-') || '|' || coalesce(md5(text), '-') || CASE WHEN number > 0 THEN '|' || number::VARCHAR ELSE '' END AS body FROM o),
 j AS (SELECT b.doc_id, b.source, b.body, m.draws, unnest(range(1, m.draws + 1)) AS j FROM b JOIN m ON b.source IS NOT DISTINCT FROM m.source),
 u AS (SELECT *, {u.format(f"'n{seed}|' || body || '|' || j::VARCHAR")} AS u FROM j),
 q AS (SELECT u.doc_id, u.body, u.j, count(*) FILTER (WHERE c.c < u.u) AS k FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY u.doc_id, u.body, u.j),

@@ -94,9 +94,9 @@ def piece_count(sp, piece: str) -> int:
 _caches: dict[tuple, bpe.Recent] = {}
 
 
-def counter(name: str, table: dict[str, int]):
-    """A Pandas UDF from text to its number of tokens."""
-    key = (name, hash(tuple(table.items())))
+def counter(name: str, table):
+    """A Pandas UDF from text to its number of tokens; ``table`` is a broadcast of the frequent pre-tokens' counts."""
+    key = (name, table._jbroadcast.id())
 
     @pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -104,7 +104,8 @@ def counter(name: str, table: dict[str, int]):
         if cache is None:
             sp = bpe.processor(bpe.model_path(name))
             _caches.clear()
-            cache = _caches[key] = bpe.Recent(lambda p: table.get(p) or piece_count(sp, p), CACHE)
+            known = table.value
+            cache = _caches[key] = bpe.Recent(lambda p: known.get(p) or piece_count(sp, p), CACHE)
         get = cache.__getitem__
         for s in batches:
             yield pd.Series([sum(map(get, bpe.pretokens(t))) if isinstance(t, str) else 0 for t in s], dtype="int64")
@@ -125,7 +126,7 @@ def token_counts(docs: DataFrame, *, model: str = "piece_bpe_32k.model", limit:
     if not bpe.splittable(path):
         raise ValueError(f"{model}: its encoding does not split at spaces and line feeds")
     sp = bpe.processor(path)
-    table = {p: piece_count(sp, p) for p in frequent(docs, text_col)}
+    table = docs.sparkSession.sparkContext.broadcast({p: piece_count(sp, p) for p in frequent(docs, text_col)})
     t = F.col(text_col)
     return docs.select(F.col(id_col), F.octet_length(F.coalesce(t, F.lit(""))).cast("long").alias("n_bytes"), counter(model, table)(t).alias("n_tokens")).withColumn(
         "over_limit", F.col("n_tokens") > limit
