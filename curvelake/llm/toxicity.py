@@ -10,14 +10,14 @@ or three bytes on a telling word of five letters, as much as chance matches
 vary.  So a window is first spelled out: each letter becomes four bytes that
 depend on all the letters before it in its word.  A match then means that two
 words begin alike, it saves four bytes a letter, and chance matches inside of
-words vanish.  Both dictionaries share one background, trained on ordinary
-windows, at the same distance; they differ only in the class text before it.
+words vanish.  Beginnings that both classes have would fill either dictionary,
+so they train a background that stands at the same distance in both; the rest
+of each class's windows trains the part that is its own.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,39 +31,31 @@ from curvelake.llm import common
 
 WINDOW_WORDS = 16
 LEVEL = 3
-BACKGROUND_BYTES = 31 << 10
-CLASS_BYTES = 32 << 10
+#: Bytes of a dictionary: the part that both share, and its own; and of the pieces that training picks.
+BACKGROUND_BYTES = 24 << 10
+CLASS_BYTES = 3 << 10
+SEGMENT_BYTES = 16
 #: Labelled rows that a fit reads at most, by class.
 SAMPLE_ROWS = 2000
 #: Words that are spelled at once; a multiple of the window, so that a long text can be taken in parts.
 SLICE = WINDOW_WORDS * 4096
-#: A beginning of a word belongs to a class when its share of documents differs by so many deviations.
-TELLING_Z = 5.0
-MIN_DOCS = 4
 LETTER = 4
 
-#: Letters after which a very long word starts anew, so that spelling takes bounded steps.
-LONGEST = 32
+U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_VALUES = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def spell(data: np.ndarray) -> np.ndarray:
-    """For each byte of words with a space before each: 32 bits from its word so far."""
+    """For each byte of words with a space before each: 32 bits from its word so far, by a polynomial over its bytes."""
     n = len(data)
-    at = np.arange(n)
-    since = at - np.maximum.accumulate(np.where(data == 32, at, 0))
-    step = (since % LONGEST).astype(np.uint8)
-    order = np.argsort(step, kind="stable")
-    ends = np.cumsum(np.bincount(step, minlength=LONGEST))
-    h = np.zeros(n, np.uint32)
-    c = data.astype(np.uint32) + np.uint32(1)
-    for k in range(LONGEST):
-        idx = order[ends[k - 1] if k else 0 : ends[k]]
-        if not len(idx):
-            break
-        before = h[idx - 1] if k else np.full(len(idx), 0x9E3779B9, np.uint32)
-        x = (before ^ c[idx]) * np.uint32(0x85EBCA6B)
-        h[idx] = x ^ (x >> np.uint32(13))
-    return h
+    up, down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)])) for x in (_BASE, _BACK))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[:n], dtype=np.uint64)])
+    start = np.maximum.accumulate(np.where(data == 32, np.arange(n), 0))
+    h = (sums[1:] - sums[start]) * down[start]
+    h = (h ^ (h >> U(31))) * U(0x94D049BB133111EB)
+    return (h >> U(32)).astype(np.uint32)
 
 
 def slices(texts: list[str | None]) -> Iterator[list[tuple[int, list[bytes]]]]:
@@ -124,14 +116,6 @@ class Sizes:
         return np.fromiter((len(b[i]) for i in range(len(b))), np.int64, len(segments))
 
 
-def _beginnings(text: str) -> set[bytes]:
-    out = set()
-    for w in set(common.lower_words(text)):
-        out.update(w[:m] for m in range(3, min(len(w), 12)))
-        out.add(w[:64])
-    return out
-
-
 def _apart(texts: list[str]) -> list[str]:
     """Texts without near copies of earlier ones, whose private words would look telling."""
     seen: set[int] = set()
@@ -145,31 +129,49 @@ def _apart(texts: list[str]) -> list[str]:
     return out
 
 
-def _class_text(own: list[str], other: list[str]) -> bytes:
-    """Spelled words of one class that begin in its telling ways, the most telling last."""
-    if not own or not other:
-        return b""
-    a, b = Counter(), Counter()
-    for t in own:
-        a.update(_beginnings(t))
-    for t in other:
-        b.update(_beginnings(t))
-    n, m = len(own), len(other)
-    telling = {}
-    for g, k in a.items():
-        if k >= min(MIN_DOCS, max(2, n // 8)):
-            p = (k + b[g]) / (n + m)
-            z = (k / n - b[g] / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-            if z > TELLING_Z and k / n > 4 * b[g] / m:
-                telling[g] = z
-    words: dict[bytes, float] = {}
-    for t in own:
-        for w in common.lower_words(t):
-            z = max((telling.get(w[:m], 0.0) for m in range(3, min(len(w), 64) + 1)), default=0.0)
-            if z:
-                words[w] = max(words.get(w, 0.0), z)
-    text = b"".join(b" " + w for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0])))
-    return spell(np.frombuffer(text, np.uint8)).tobytes()[-CLASS_BYTES:]
+def _beginnings(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spelled texts, slice by slice: the number of each beginning of a word, and where windows start."""
+    for group in slices(texts):
+        coded, segments, _ = windows([w for _, w in group])
+        yield np.frombuffer(coded, np.uint32), segments[:, 0].astype(np.int64) // LETTER
+
+
+def _samples(texts: list[str], other: np.ndarray, shared: bool) -> list[bytes]:
+    """Of each spelled window the beginnings that the other class has (``shared``) or has not."""
+    out: list[bytes] = []
+    for h, starts in _beginnings(texts):
+        at = np.minimum(np.searchsorted(other, h), max(0, len(other) - 1))
+        keep = (other[at] == h if len(other) else np.zeros(len(h), bool)) == shared
+        edge = np.append(np.cumsum(keep) - keep, keep.sum())[np.append(starts, len(h))].tolist()
+        kept = h[keep]
+        out += [kept[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True) if b > a]
+    return out
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a zstandard dictionary trained on all samples; too few of them are their own dictionary."""
+    samples = [x for x in samples if len(x) >= 8]
+    if sum(map(len, samples)) > 4 * size and len(samples) >= 50:
+        try:
+            return zstandard.train_dictionary(size + 1024, samples, k=SEGMENT_BYTES, d=8, level=LEVEL).as_bytes()[-size:]
+        except zstandard.ZstdError:  # samples too much alike to train on
+            pass
+    return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary, of one length.
+
+    Each is trained on the windows of its own texts, in two parts: beginnings
+    of words that the other class has, too, train the background that both
+    share, and the rest of the windows trains the part before it.
+    """
+    texts = {1: toxic, 0: ordinary}
+    known = {y: np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.unique(h) for h, _ in _beginnings(ts))])) for y, ts in texts.items()}
+    background = trained([x for y in texts for x in _samples(texts[y], known[1 - y], True)], BACKGROUND_BYTES)
+    own = {y: trained(_samples(texts[y], known[1 - y], False), CLASS_BYTES) for y in texts}
+    size = max(8, *map(len, own.values()))
+    return tuple(_noise(size - len(own[y])) + own[y] + background for y in (1, 0))
 
 
 def _noise(n: int) -> bytes:
@@ -219,25 +221,13 @@ class Model:
 def fit(rows: list[tuple[str, int]]) -> Model:
     """From (text, label) rows; either class may be missing.
 
-    Even rows make the dictionaries, odd rows calibrate the window limit and
-    the document score.
+    Two thirds of the rows make the dictionaries, the others calibrate the
+    window limit and the document score.
     """
     rows = [(t or "", int(y)) for t, y in rows]
     by = {y: [t for t, k in rows if k == y] for y in (0, 1)}
-    half = {y: (by[y][0::2], by[y][1::2]) for y in (0, 1)}
-    tox, plain = _apart(half[1][0]), _apart(half[0][0])
-    train: list[bytes] = []
-    for group in slices(plain or [t for t, _ in rows]):
-        train += [w for w in cut(*windows([w for _, w in group], 32)[:2]) if len(w) >= 32]
-        if len(train) >= 8000:
-            break
-    background = b""
-    if len(train) >= 50:
-        background = zstandard.train_dictionary(BACKGROUND_BYTES + 1024, train, level=3).as_bytes()[-BACKGROUND_BYTES:]
-    own, rest = _class_text(tox, plain), _class_text(plain, tox)
-    size = max(len(own), len(rest), 8)
-    own, rest = _noise(size - len(own)) + own, _noise(size - len(rest)) + rest
-    model = Model(own + background, rest + background, 0.0, [0.0] * 5)
+    half = {y: ([t for i, t in enumerate(by[y]) if i % 3], by[y][0::3]) for y in (0, 1)}
+    model = Model(*dictionaries(_apart(half[1][0]), _apart(half[0][0])), 0.0, [0.0] * 5)
     cal = [(t, y) for y in (0, 1) for t in half[y][1]]
     y = np.array([k for _, k in cal], float)
     if not len(y) or y.min() == y.max():
@@ -260,24 +250,26 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, fold_of: int, held: int, rows: int) -> list[tuple[str, int]]:
     """At most ``rows`` training rows a class, by the order of a hash of the id.
 
-    Rows without text, id or label teach nothing.  The join is on the ids of
-    the sample alone, so its size is bounded on both sides.
+    Rows without text, id or label and ids with both labels teach nothing; of
+    an id with several texts the least counts.  The join is on the ids of the
+    sample alone, so its size is bounded on both sides.
     """
     ids = (
         labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
         .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
         .where((F.crc32(F.col("_id").cast("string")) % fold_of) != held)
-    )
+        .groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y")
+    )
     key = F.struct(F.md5(F.col("_id").cast("string")).alias("h"), "_id")
     picked = [ids.where(F.col("_y") == y).orderBy(key).limit(rows) for y in (0, 1)]
-    sample = picked[0].unionByName(picked[1]).dropDuplicates(["_id"])
     got = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
         .where(F.col("_t").isNotNull())
-        .join(F.broadcast(sample), "_id")
-        .orderBy(F.md5(F.col("_id").cast("string")), "_id", "_t")
+        .join(F.broadcast(picked[0].unionByName(picked[1])), "_id")
+        .groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
+        .orderBy(F.md5(F.col("_id").cast("string")), "_id")
         .collect()
-    )
+    )
     return [(r["_t"], r["_y"]) for r in got]
 
 

@@ -55,6 +55,26 @@ def test_toxic_words_are_found_and_clean_text_is_not():
     assert model.scores(["", None]).shape == (2,)
 
 
+def test_dictionaries_are_trained_on_either_class():
+    """Both come out of zstandard's training on windows; a repeated toxic beginning is in the toxic one only, a chance word in neither."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    ordinary = [" ".join(word() for _ in range(120)) for _ in range(400)]
+    toxic = [" ".join([*(word() for _ in range(60)), "xyzzy" + word(), *(word() for _ in range(60))]) for _ in range(400)]
+    own, rest = toxicity.dictionaries(toxic, ordinary)
+    assert len(own) == len(rest) == toxicity.CLASS_BYTES + toxicity.BACKGROUND_BYTES
+    start = toxicity.windows([[b"xyzzy"]])[0][4:24]
+    assert all(start[i : i + 8] in own and start[i : i + 8] not in rest for i in (0, 4, 8))
+    assert own[toxicity.CLASS_BYTES :] == rest[toxicity.CLASS_BYTES :]
+
+
+def test_spelling_has_no_longest_word():
+    long = b"a" * 300 + b"b"
+    coded = np.frombuffer(toxicity.windows([[long, long[:-1] + b"c"]])[0], np.uint32)
+    assert (coded[:301] == coded[302:603]).all() and coded[301] != coded[603]
+    assert len(np.unique(coded[:302])) == 302
+
+
 def test_toxicity_degenerate_fits():
     for rows in ([], [("a b c", 0)] * 5, [("a b", 1)] * 5, [("", 0), (None, 1)]):
         s = toxicity.fit(rows).scores(["a b c", None, ""])
