@@ -63,8 +63,8 @@ def test_dictionaries_are_trained_on_either_class():
     toxic = [" ".join([*(word() for _ in range(60)), "xyzzy" + word(), *(word() for _ in range(60))]) for _ in range(400)]
     own, rest = toxicity.dictionaries(toxic, ordinary)
     assert len(own) == len(rest) == toxicity.CLASS_BYTES + toxicity.BACKGROUND_BYTES
-    start = toxicity.windows([[b"xyzzy"]])[0][4:24]
-    assert all(start[i : i + 8] in own and start[i : i + 8] not in rest for i in (0, 4, 8))
+    gains = toxicity.Model(own, rest, 0.0, [0.0] * 5).gains([" ".join(["xyzzy" + word() for _ in range(16)]), ordinary[0]])
+    assert gains[0].min() > 16 * 6 and gains[1].max() < 16
     assert own[toxicity.CLASS_BYTES :] == rest[toxicity.CLASS_BYTES :]
 
 
