@@ -749,8 +749,11 @@ class Join:
     def _unlike(self, flat: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different components.  Components are paired first, so that a large one's members are not paired with each other."""
         flat = self.scratch.cut(flat.join(self.named(labels), "who", "left").withColumn("label", F.coalesce("label", "who")))
-        names = flat.select("grp", "label").distinct()
-        unlike = names.withColumnRenamed("label", "label_a").join(names.withColumnRenamed("label", "label_b"), "grp").where("label_a < label_b")
+        names = flat.groupBy("grp", "label").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("pos")).alias("left"))
+        sides = (names.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "least", "left"))) for x in "ab")
+        # The bound of ``_meeting`` for the most promising members.
+        bound = (F.col("least_a") + F.col("least_b")) * self.percent <= F.least("left_a", "left_b") * (100 + self.percent)
+        unlike = next(sides).join(next(sides), "grp").where((F.col("label_a") < F.col("label_b")) & bound).select("grp", "label_a", "label_b")
         left, right = (flat.select("grp", *(F.col(c).alias(f"{c}_{x}") for c in ("label", "who", "n", "pos"))) for x in "ab")
         return self._meeting(unlike.join(left, ["grp", "label_a"]).join(right, ["grp", "label_b"]))
 
