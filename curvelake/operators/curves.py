@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from curvelake.functions import formula
 from curvelake.operators import interp
 from curvelake.plans import lang
 from curvelake.plans.tree import OPS, Field, c, operator
-from curvelake.types import FieldType, Out, Var
+from curvelake.types import Column, Schema, given, made, schema
 
 REDUCTIONS = ("max", "min", "mean", "sum", "count", "first", "last", "argmax", "argmin", "integral")
 
@@ -38,8 +37,8 @@ def reduce_(f: Field, op: str, along: str | None = None, method: str = "trapz"):
     key = f.type.key(x)
     keys = [c(n) for n in key]
     outs = f.type.outputs
-    unit = {"count": lambda o: None, "argmax": lambda o: f.type.var(x).unit, "argmin": lambda o: f.type.var(x).unit, "integral": lambda o: None}.get(op, lambda o: o.unit)
-    new = replace(f.type.drop(x), outputs=tuple(Out(o.name, unit(o)) for o in outs))
+    unit = {"count": lambda o: None, "argmax": lambda o: f.type.input(x).unit, "argmin": lambda o: f.type.input(x).unit, "integral": lambda o: None}.get(op, lambda o: o.unit)
+    new = f.type.drop(x).but(outputs=tuple(made(o.name, unit(o)) for o in outs))
     if op != "integral":
         aggs = [_picks(op, c(x), c(o.name)).alias(o.name) for o in outs]
         df = f.df.groupBy(*keys).agg(F.count("*").alias("__rows"), *aggs)
@@ -74,9 +73,9 @@ def range_(f: Field, along: str | None = None):
     """The least and greatest x of each curve, as ``lo`` and ``hi``."""
     x = f.type.along(along)
     f.type.number(x)
-    unit = f.type.var(x).unit
+    unit = f.type.input(x).unit
     df = f.df.groupBy(*[c(n) for n in f.type.key(x)]).agg(F.min(c(x)).cast("double").alias("lo"), F.max(c(x)).cast("double").alias("hi")).where(F.col("lo").isNotNull())
-    return df, replace(f.type.drop(x), outputs=(Out("lo", unit), Out("hi", unit)))
+    return df, f.type.drop(x).but(outputs=(made("lo", unit), made("hi", unit)))
 
 
 def _gradient(x: Column, y: Column, w: Window) -> Column:
@@ -107,7 +106,7 @@ def deriv(f: Field, along: str | None = None, order: int = 1, method: str = "pch
     key = f.type.key(x)
     keys = [c(n) for n in key]
     df = f.df
-    rest = list(f.type.output_names)
+    rest = list(f.type.outs)
     for y in rest:
         if method == "fd":
             df = _valid(df, key, x, y)
@@ -115,7 +114,7 @@ def deriv(f: Field, along: str | None = None, order: int = 1, method: str = "pch
             for _ in range(order):
                 df = df.withColumn(y, F.when(F.col("__ok"), _gradient(c(x).cast("double"), c(y), w)))
             continue
-        one = Field(df.select(*keys, c(x), c(y)), replace(f.type, outputs=(f.type.out(y),)), f.node, f.ctx)
+        one = Field(df.select(*keys, c(x), c(y)), f.type.but(outputs=(f.type.output(y),)), f.node, f.ctx)
         seg = interp.segments(one.df, key, x, y, method, fewpoints, f.ctx)
         w = Window.partitionBy(*keys).orderBy(c(x))
         last = F.lag("__seg").over(w)
@@ -129,7 +128,7 @@ def deriv(f: Field, along: str | None = None, order: int = 1, method: str = "pch
             df = seg.unionByName(df.where(c(y).isNull() | c(x).isNull()).select(*keys, c(x), F.lit(None).cast("double").alias(y)))
         else:
             df = df.drop(y).join(seg, [*key, x], "left")
-    return df, replace(f.type, outputs=tuple(Out(o.name) for o in f.type.outputs))
+    return df, f.type.but(outputs=tuple(made(o.name) for o in f.type.outputs))
 
 
 @operator(same_points=True)
@@ -140,7 +139,7 @@ def cumint(f: Field, along: str | None = None, method: str = "trapz"):
     key = f.type.key(x)
     keys = [c(n) for n in key]
     df = f.df
-    for y in f.type.output_names:
+    for y in f.type.outs:
         if method == "trapz":
             df = _valid(df, key, x, y)
             w = Window.partitionBy(*keys, F.col("__ok")).orderBy(c(x))
@@ -151,7 +150,7 @@ def cumint(f: Field, along: str | None = None, method: str = "trapz"):
             w = Window.partitionBy(*keys).orderBy(c(x))
             run = F.coalesce(F.sum(interp.area(F.col("__seg"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
             df = df.drop(y).join(seg.withColumn("__v", run).select(*keys, c(x), F.col("__v").alias(y)), [*key, x], "left")
-    return df, replace(f.type, outputs=tuple(Out(o.name) for o in f.type.outputs))
+    return df, f.type.but(outputs=tuple(made(o.name) for o in f.type.outputs))
 
 
 @operator()
@@ -179,25 +178,25 @@ def swap(f: Field, along: str | None = None, branches: str = "error", flat_tol:
     df = df.where(~flat | alone)
     df = df.withColumn("__s", F.signum(c(y) - F.lag(c(y)).over(w)))
     df = df.withColumn("__turn", (F.col("__s") != F.lag("__s").over(w)) | (F.col("__s") == 0))
-    v = f.type.var(x)
-    ins = tuple(Var(y, "float", False, o.unit) if i.name == x else i for i in f.type.inputs)
+    v = f.type.input(x)
+    ins = tuple(given(y, "float", False, o.unit) if i.name == x else i for i in f.type.inputs)
     if branches == "error":
         f.ctx.check(f"{y} is not monotone along {x}", df.where(F.coalesce("__turn", F.lit(False))).select(*keys, c(x)))
     else:
         turns = F.sum(F.when(F.col("__turn"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
         df = df.withColumn("branch", turns.cast("bigint"))
-        ins = (*[i for i in ins if i.name != y], Var("branch", "int"), *[i for i in ins if i.name == y])
+        ins = (*[i for i in ins if i.name != y], given("branch", "int"), *[i for i in ins if i.name == y])
     df = df.select(*keys, *([F.col("branch")] if branches == "split" else []), formula.norm(c(y)).alias("__y"), c(x).cast("double").alias("__x"))
     df = df.withColumnsRenamed({"__y": y, "__x": x})
-    return df, FieldType(ins, (Out(x, v.unit),), y)
+    return df, schema(ins, (made(x, v.unit),), y)
 
 
-def _on_grid(f: Field, grid: Field, x: str, method: str, extrapolate: str, fewpoints: str) -> tuple[DataFrame, FieldType]:
+def _on_grid(f: Field, grid: Field, x: str, method: str, extrapolate: str, fewpoints: str) -> tuple[DataFrame, Schema]:
     if extrapolate not in ("nan", "error", "extend", "clamp"):
         raise FieldError(f"extrapolate is nan, error, extend or clamp, not {extrapolate}")
     key = f.type.key(x)
     keys = [c(n) for n in key]
-    outs = f.type.output_names
+    outs = f.type.outs
     rows = None
     for i, y in enumerate(outs):
         seg = interp.segments(f.df, key, x, y, method, fewpoints, f.ctx).where(F.col("__seg").isNotNull())
@@ -207,8 +206,8 @@ def _on_grid(f: Field, grid: Field, x: str, method: str, extrapolate: str, fewpo
     # Each curve's range and first segments, and the grid points that agree with its key.
     ranges = [F.struct(F.min(F.col(f"__seg{j}.x0")).alias("lo"), F.max(F.col(f"__seg{j}.x1")).alias("hi"), F.min_by(f"__seg{j}", F.col(f"__seg{j}.x0")).alias("seg")).alias(f"__r{j}") for j in range(len(outs))]
     curves = rows.groupBy(*keys).agg(*ranges)
-    common = [n for n in grid.type.input_names if n in key]
-    more = [n for n in grid.type.input_names if n not in key and n != x]
+    common = [n for n in grid.type.ins if n in key]
+    more = [n for n in grid.type.ins if n not in key and n != x]
     g = grid.df.select(*[c(n) for n in common + more], c(x).cast("double").alias("__x"))
     asked = curves.join(g, common) if common else curves.join(F.broadcast(g) if grid.node.op == "axis" else g)
     segs = [F.lit(None).cast(dict(rows.dtypes)[f"__seg{j}"]).alias(f"__seg{j}") for j in range(len(outs))]
@@ -237,10 +236,10 @@ def _on_grid(f: Field, grid: Field, x: str, method: str, extrapolate: str, fewpo
             if extrapolate == "error":
                 f.ctx.check(f"grid points outside a curve of {y}", both.where(outside).select(*cols, "__x"))
         got.append(v.alias(y))
-    v = grid.type.var(x)
-    ins = [replace(i, exact=v.exact, dtype="float") if i.name == x else i for i in f.type.inputs] + [grid.type.var(n) for n in more]
+    v = grid.type.input(x)
+    ins = [i.but(exact=v.exact, dtype="float") if i.name == x else i for i in f.type.inputs] + [grid.type.input(n) for n in more]
     out = both.select(*cols, F.col("__x").alias(x), *got)
-    return out, FieldType(tuple(ins), f.type.outputs, x)
+    return out, schema(tuple(ins), f.type.outputs, x)
 
 
 @operator()
@@ -248,7 +247,7 @@ def resample(f: Field, grid: Field, along: str | None = None, method: str = "pch
     """Each curve's values on a grid; a grid without a curve's inputs serves all curves."""
     x = f.type.along(along)
     f.type.number(x)
-    if x not in grid.type.input_names:
+    if x not in grid.type.ins:
         raise FieldError(f"the grid has no {x}")
     return _on_grid(f, grid, x, method, extrapolate, fewpoints)
 
@@ -262,7 +261,7 @@ def eval_(f: Field, value: float, along: str | None = None, method: str = "pchip
     keys = [c(n) for n in key]
     v = formula.norm_value(value)
     df = None
-    for y in f.type.output_names:
+    for y in f.type.outs:
         seg = interp.segments(f.df, key, x, y, method, fewpoints, f.ctx).where(F.col("__seg").isNotNull())
         s, q = F.col("__seg"), F.lit(v)
         # The last segment that starts at or before x; the first one for an x before all.
@@ -289,11 +288,11 @@ def align(fields: list[Field], grid: Field, labels: list, along: str, method: st
     """Interpolates all operands that have x onto one grid and joins them there."""
     for i, f in enumerate(fields):
         for g in fields[:i] + fields[i + 1 :]:
-            on = [n for n in f.type.key(along) if n in g.type.input_names and n != along]
-            if on and along in f.type.input_names:
+            on = [n for n in f.type.key(along) if n in g.type.ins and n != along]
+            if on and along in f.type.ins:
                 lost = f.df.select(*[c(n) for n in f.type.key(along)]).distinct().join(g.df.select(*[c(n) for n in on]).distinct(), on, "left_anti")
                 (f.ctx.check if unmatched == "error" else f.ctx.note)(f"curves of {labels[i]} without a match", lost)
-    on = [OPS["resample"](f, grid, along=along, method=method, extrapolate=extrapolate, fewpoints=fewpoints) if along in f.type.input_names else f for f in fields]
+    on = [OPS["resample"](f, grid, along=along, method=method, extrapolate=extrapolate, fewpoints=fewpoints) if along in f.type.ins else f for f in fields]
     got = OPS["join"](on, labels=labels, unmatched=unmatched)
     return got.df, got.type
 
@@ -309,9 +308,9 @@ def legendre(f: Field, along: str | None = None, slope: str = "p", result: str =
     turned = OPS["swap"](OPS["select"](got, ["__p"]), along=x, branches=branches, flat_tol=flat_tol)
     key = f.type.key(x)
     back = turned.df.join(got.df.select(*[c(n) for n in key], c(x).cast("double").alias(x), F.col("__g")), [*key, x])
-    ins = tuple(replace(i, name=slope) if i.name == "__p" else i for i in turned.type.inputs)
+    ins = tuple(i.but(name=slope) if i.name == "__p" else i for i in turned.type.inputs)
     df = back.select(*[c(i.name) for i in turned.type.inputs if i.name != "__p"], F.col("__p").alias(slope), F.col("__g").alias(result))
-    return df, FieldType(ins, (Out(result),), slope)
+    return df, schema(ins, (made(result),), slope)
 
 
 __all__ = ["REDUCTIONS", "align", "cumint", "deriv", "eval_", "lang", "legendre", "range_", "reduce_", "resample", "swap"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from curvelake.errors import FieldError
 from curvelake.functions import formula
 from curvelake.operators.percurve import per_curve
 from curvelake.plans.tree import Field, c, operator
-from curvelake.types import Out
+from curvelake.types import made
 
 REGISTRY: dict[str, "Plugin"] = {}
 
@@ -75,13 +75,13 @@ def apply(f: Field, fn: str, along: str | None = None, options: dict | None = No
         def each(y: pd.Series) -> pd.Series:
             return pd.Series(run(y.to_numpy(float), **opts)).astype(float)
 
-        outs = [formula.clean(each(c(n))).alias(n) for n in f.type.output_names]
-        return f.df.select(*[c(n) for n in f.type.input_names], *outs), f.type
+        outs = [formula.clean(each(c(n))).alias(n) for n in f.type.outs]
+        return f.df.select(*[c(n) for n in f.type.ins], *outs), f.type
     x = f.type.along(along)
     key = f.type.key(x)
     kinds = dict(f.df.dtypes)
     key_schema = "".join(f"`{n}` {kinds[n]}, " for n in key)
-    outs = f.type.output_names
+    outs = f.type.outs
     rows_in = f.df.select(*[c(n) for n in key], c(x), *[c(o) for o in outs])
     if p.kind == "reduce":
 
@@ -97,7 +97,7 @@ def apply(f: Field, fn: str, along: str | None = None, options: dict | None = No
             return pd.DataFrame(out, columns=[*key, *outs])
 
         df = per_curve(rows_in, key, x, one, key_schema + ", ".join(f"`{o}` double" for o in outs))
-        return df.select(*[c(n) for n in key], *[formula.clean(c(o)).alias(o) for o in outs]), replace(f.type.drop(x), outputs=tuple(Out(o) for o in outs))
+        return df.select(*[c(n) for n in key], *[formula.clean(c(o)).alias(o) for o in outs]), f.type.drop(x).but(outputs=tuple(made(o) for o in outs))
     o = f.type.only().name
 
     def curve(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
@@ -116,7 +116,7 @@ def apply(f: Field, fn: str, along: str | None = None, options: dict | None = No
     df = per_curve(rows_in, key, x, curve, key_schema + f"`{x}` double, `{o}` double")
     df = df.select(*[c(n) for n in key], formula.norm(c(x)).alias(x), formula.clean(c(o)).alias(o))
     f.ctx.check(f"{p.name} made points of equal {x}", df.groupBy(*[c(n) for n in [*key, x]]).count().where("count > 1"))
-    ins = tuple(replace(v, exact=False, dtype="float") if v.name == x else v for v in f.type.inputs)
-    return df, replace(f.type, inputs=ins, outputs=(Out(o),))
+    ins = tuple(v.but(exact=False, dtype="float") if v.name == x else v for v in f.type.inputs)
+    return df, f.type.but(inputs=ins, outputs=(made(o),))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +11,7 @@ from curvelake.errors import FieldError
 from curvelake.functions import formula
 from curvelake.plans import lang
 from curvelake.plans.tree import Context, Field, c, operator
-from curvelake.types import FieldType, Out, Var
+from curvelake.types import Column, given, made, schema
 
 SQL = {"float": "double", "int": "bigint", "str": "string"}
 #: Rows of a keyed operand up to which it is broadcast.
@@ -20,13 +19,13 @@ SMALL_ROWS = 200_000
 
 
 def columns(f: Field) -> dict[str, Column]:
-    return {n: c(n) for n in f.type.input_names + f.type.output_names}
+    return {n: c(n) for n in f.type.ins + f.type.outs}
 
 
 @operator()
 def const(ctx: Context, value: float, unit: str | None = None):
     """One value without inputs."""
-    return ctx.spark.range(1).select(F.lit(float(value)).alias("value")), FieldType((), (Out("value", unit),))
+    return ctx.spark.range(1).select(F.lit(float(value)).alias("value")), schema((), (made("value", unit),))
 
 
 @operator()
@@ -43,26 +42,26 @@ def axis(ctx: Context, name: str, values: str, dtype: str = "float"):
     else:
         raise FieldError(f"not an axis: {values}")
     v = np.unique([formula.norm_value(x) for x in v])
-    return ctx.spark.createDataFrame([(float(x),) for x in v], f"`{name}` double").select(c(name).cast(SQL[dtype])), FieldType((Var(name, dtype),), (), name)
+    return ctx.spark.createDataFrame([(float(x),) for x in v], f"`{name}` double").select(c(name).cast(SQL[dtype])), schema((given(name, dtype),), (), name)
 
 
 @operator(same_points=True)
 def select(f: Field, outputs: list):
     """Only the outputs listed, none of them for a set of points."""
-    return f.df, replace(f.type, outputs=tuple(f.type.out(o) for o in outputs))
+    return f.df, f.type.but(outputs=tuple(f.type.output(o) for o in outputs))
 
 
-@operator(same_points=lambda p, kids: not set(p["names"]) & set(kids[0].type.input_names))
+@operator(same_points=lambda p, kids: not set(p["names"]) & set(kids[0].type.ins))
 def rename(f: Field, names: dict):
     """Other names for inputs or outputs."""
-    unknown = [n for n in names if n not in f.type.input_names + f.type.output_names]
+    unknown = [n for n in names if n not in f.type.ins + f.type.outs]
     if unknown:
         raise FieldError(f"no column {', '.join(unknown)}")
-    new = FieldType(
-        tuple(replace(v, name=names.get(v.name, v.name)) for v in f.type.inputs), tuple(replace(o, name=names.get(o.name, o.name), error=names.get(o.error, o.error)) for o in f.type.outputs),
+    new = schema(
+        tuple(v.but(name=names.get(v.name, v.name)) for v in f.type.inputs), tuple(o.but(name=names.get(o.name, o.name), error=names.get(o.error, o.error)) for o in f.type.outputs),
         names.get(f.type.axis, f.type.axis),
     )
-    return f.df.select(*[c(n).alias(names.get(n, n)) for n in f.type.input_names + f.type.output_names]), new
+    return f.df.select(*[c(n).alias(names.get(n, n)) for n in f.type.ins + f.type.outs]), new
 
 
 @operator("map", same_points=True)
@@ -71,16 +70,16 @@ def map_(f: Field, new: dict, keep: list | None = None, units: dict | None = Non
     keep = keep or []
     cols = columns(f)
     for n in new:
-        if n in f.type.input_names:
+        if n in f.type.ins:
             raise FieldError(f"{n} is an input")
     text = [v.name for v in f.type.inputs if v.dtype == "str"]
     for e in new.values():
         used = formula.names(lang.parse(e)) & set(text)
         if used:
             raise FieldError(f"{', '.join(sorted(used))} is text and cannot be calculated with")
-    outs = [o for o in f.type.outputs if o.name in keep and o.name not in new] + [Out(n, (units or {}).get(n)) for n in new]
+    outs = [o for o in f.type.outputs if o.name in keep and o.name not in new] + [made(n, (units or {}).get(n)) for n in new]
     exprs = [formula.compile_formula(e, cols).alias(n) for n, e in new.items()]
-    return f.df.select(*[c(n) for n in f.type.input_names], *[c(o.name) for o in outs if o.name not in new], *exprs), replace(f.type, outputs=tuple(outs))
+    return f.df.select(*[c(n) for n in f.type.ins], *[c(o.name) for o in outs if o.name not in new], *exprs), f.type.but(outputs=tuple(outs))
 
 
 def condition(f: Field, tests: list[lang.Test]) -> Column:
@@ -108,14 +107,14 @@ def filter(f: Field, tests: str):  # noqa: A001
 @operator()
 def slice(f: Field, name: str, value):  # noqa: A001
     """The points at one value of an input, which is dropped."""
-    f.type.var(name)
+    f.type.input(name)
     return f.df.where(condition(f, [lang.Test(name, "=", value)])), f.type.drop(name)
 
 
 @operator(same_points=True)
 def points(f: Field):
     """The inputs alone."""
-    return f.df, replace(f.type, outputs=())
+    return f.df, f.type.but(outputs=())
 
 
 @operator()
@@ -125,20 +124,20 @@ def transform(f: Field, name: str, to: str, formula_: str, digits: int = formula
     Points whose new value is missing are dropped.  ``check`` refuses points
     that the change makes one.
     """
-    f.type.var(name)
+    f.type.input(name)
     tree = lang.parse(formula_)
     used = formula.names(tree)
-    exact = all(n in f.type.input_names and f.type.var(n).exact for n in used)
+    exact = all(n in f.type.ins and f.type.input(n).exact for n in used)
     value = formula.norm(formula.compile_formula(tree, columns(f)), digits)
-    new = replace(
-        f.type, inputs=tuple(Var(to, "float", exact) if v.name == name else v for v in f.type.inputs),
+    new = f.type.but(
+        inputs=tuple(given(to, "float", exact) if v.name == name else v for v in f.type.inputs),
         axis=to if f.type.axis == name else f.type.axis, outputs=tuple(o for o in f.type.outputs if o.name != to),
     )
     df = f.df.select(*[value.alias(to) if v.name == name else c(v.name) for v in f.type.inputs], *[c(o.name) for o in new.outputs])
     f.ctx.note(f"points without a value of {to} dropped", df.where(c(to).isNull()))
     df = df.where(c(to).isNotNull())
     if check:
-        keys = [c(n) for n in new.input_names]
+        keys = [c(n) for n in new.ins]
         f.ctx.check(f"the new {to} makes points one", df.groupBy(*keys).count().where("count > 1"))
     return df, new
 
@@ -146,7 +145,7 @@ def transform(f: Field, name: str, to: str, formula_: str, digits: int = formula
 def _merge(a: Var, b: Var) -> Var:
     if (a.dtype == "str") != (b.dtype == "str"):
         raise FieldError(f"{a.name} is text on one side and a number on the other")
-    return replace(a, exact=a.exact and b.exact, dtype=a.dtype if a.dtype == b.dtype else "float")
+    return a.but(exact=a.exact and b.exact, dtype=a.dtype if a.dtype == b.dtype else "float")
 
 
 @operator(same_points=lambda p, kids: len({k.pid for k in kids}) == 1)
@@ -161,15 +160,15 @@ def join(fields: list[Field], labels: list, unmatched: str = "drop"):
     ctx = fields[0].ctx
 
     def prefixed(f: Field, label: str) -> DataFrame:
-        return f.df.select(*[c(n) for n in f.type.input_names], *[c(o).alias(f"{label}.{o}") for o in f.type.output_names])
+        return f.df.select(*[c(n) for n in f.type.ins], *[c(o).alias(f"{label}.{o}") for o in f.type.outs])
 
     df, ins = prefixed(fields[0], labels[0]), list(fields[0].type.inputs)
-    outs = [replace(o, name=f"{labels[0]}.{o.name}", error=None) for o in fields[0].type.outputs]
+    outs = [o.but(name=f"{labels[0]}.{o.name}", error=None) for o in fields[0].type.outputs]
     for f, label in zip(fields[1:], labels[1:], strict=True):
         right = prefixed(f, label)
         mine = [v.name for v in ins]
-        shared = [n for n in f.type.input_names if n in mine]
-        merged = {v.name: _merge(v, f.type.var(v.name)) for v in ins if v.name in shared}
+        shared = [n for n in f.type.ins if n in mine]
+        merged = {v.name: _merge(v, f.type.input(v.name)) for v in ins if v.name in shared}
         if unmatched == "error" or shared:
             for who, a, b in ((label, right, df), (labels[0], df, right)):
                 lost = a.join(b.select(*[c(n) for n in shared]).distinct(), shared, "left_anti") if shared else None
@@ -177,9 +176,9 @@ def join(fields: list[Field], labels: list, unmatched: str = "drop"):
                     (ctx.check if unmatched == "error" else ctx.note)(f"points of {who} without a match", lost)
         df = df.join(right, shared, "inner") if shared else df.join(right)
         ins = [merged.get(v.name, v) for v in ins] + [v for v in f.type.inputs if v.name not in mine]
-        outs += [replace(o, name=f"{label}.{o.name}", error=None) for o in f.type.outputs]
+        outs += [o.but(name=f"{label}.{o.name}", error=None) for o in f.type.outputs]
     first = next((f.type.axis for f in fields if f.type.axis), None)
-    return df, FieldType(tuple(ins), tuple(outs), fields[0].type.axis or first)
+    return df, schema(tuple(ins), tuple(outs), fields[0].type.axis or first)
 
 
 @operator()
@@ -187,14 +186,14 @@ def stack(fields: list[Field], labels: list, tag: str = "source"):
     """All points of fields of like type, told apart by a text input."""
     head = fields[0].type
     for f in fields[1:]:
-        if set(f.type.input_names) != set(head.input_names) or set(f.type.output_names) != set(head.output_names):
+        if set(f.type.ins) != set(head.ins) or set(f.type.outs) != set(head.outs):
             raise FieldError(f"stack needs equal inputs and outputs: {head} and {f.type}")
-    if tag in head.input_names + head.output_names:
+    if tag in head.ins + head.outs:
         raise FieldError(f"{tag} is taken")
-    names = [*head.input_names, *head.output_names]
+    names = [*head.ins, *head.outs]
     parts = [f.df.select(F.lit(label).alias(tag), *[c(n) for n in names]) for f, label in zip(fields, labels, strict=True)]
-    ins = tuple(fold(_merge, [f.type.var(v.name) for f in fields]) for v in head.inputs)
-    return fold(DataFrame.unionByName, parts), FieldType((Var(tag, "str"), *ins), head.outputs, head.axis)
+    ins = tuple(fold(_merge, [f.type.input(v.name) for f in fields]) for v in head.inputs)
+    return fold(DataFrame.unionByName, parts), schema((given(tag, "str"), *ins), head.outputs, head.axis)
 
 
 @operator()
@@ -202,25 +201,25 @@ def union(fields: list[Field]):
     """The distinct points of several sets of points."""
     head = fields[0].type
     for f in fields:
-        if set(f.type.input_names) != set(head.input_names):
+        if set(f.type.ins) != set(head.ins):
             raise FieldError(f"union needs equal inputs: {head} and {f.type}")
-    parts = [f.df.select(*[c(n) for n in head.input_names]) for f in fields]
-    ins = tuple(fold(_merge, [f.type.var(v.name) for f in fields]) for v in head.inputs)
-    return fold(DataFrame.unionByName, parts).distinct(), FieldType(ins, (), head.axis)
+    parts = [f.df.select(*[c(n) for n in head.ins]) for f in fields]
+    ins = tuple(fold(_merge, [f.type.input(v.name) for f in fields]) for v in head.inputs)
+    return fold(DataFrame.unionByName, parts).distinct(), schema(ins, (), head.axis)
 
 
 @operator(same_points=True)
 def column(f: Field, name: str):
     """An output alone; or an input's values at each point, as the output ``value``."""
-    if name in f.type.output_names:
-        return f.df, replace(f.type, outputs=(f.type.out(name),))
+    if name in f.type.outs:
+        return f.df, f.type.but(outputs=(f.type.output(name),))
     f.type.number(name)
-    return f.df.select(*[c(n) for n in f.type.input_names], c(name).cast("double").alias("value")), replace(f.type, outputs=(Out("value", f.type.var(name).unit),))
+    return f.df.select(*[c(n) for n in f.type.ins], c(name).cast("double").alias("value")), f.type.but(outputs=(made("value", f.type.input(name).unit),))
 
 
 def values_of(f: Field, name: str) -> DataFrame:
     """The distinct values of an input."""
-    f.type.var(name)
+    f.type.input(name)
     return f.df.select(c(name)).distinct()
 
 

@@ -20,17 +20,17 @@ from pyspark.sql import functions as F
 from curvelake.errors import FieldError
 from curvelake.plans import lang, tree
 from curvelake.plans.tree import Context, Field, Node, c
-from curvelake.types import FieldType, Out, Var
+from curvelake.types import Schema, given, made, schema
 
 STATES = ("fresh", "stale", "orphaned", "modified", "invalidated", "no recipe")
 
 
-def type_record(t: FieldType) -> dict:
+def type_record(t: Schema) -> dict:
     return {"inputs": [[v.name, v.dtype, v.exact, v.unit] for v in t.inputs], "outputs": [[o.name, o.unit, o.error] for o in t.outputs], "axis": t.axis}
 
 
-def type_of(r: dict) -> FieldType:
-    return FieldType(tuple(Var(*v) for v in r["inputs"]), tuple(Out(*o) for o in r["outputs"]), r["axis"])
+def type_of(r: dict) -> Schema:
+    return schema(tuple(given(*v) for v in r["inputs"]), tuple(made(*o) for o in r["outputs"]), r["axis"])
 
 
 @dataclass
@@ -42,7 +42,7 @@ class Dataset:
     record: dict = slot(default_factory=dict)
 
     @property
-    def type(self) -> FieldType:
+    def type(self) -> Schema:
         return type_of(self.record["type"])
 
     @property
@@ -62,7 +62,7 @@ class Dataset:
             json.dump(self.record, f, indent=1, sort_keys=True)
         os.replace(part, self.path)
 
-    def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, FieldType]:
+    def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, Schema]:
         """The saved rows; a dataset is a table to those that use it."""
         from curvelake.functions import formula
 
@@ -71,16 +71,16 @@ class Dataset:
             import numpy as np
 
             with np.load(self.data, allow_pickle=False) as z:
-                cols = {n: z[n].tolist() for n in t.input_names + t.output_names}
+                cols = {n: z[n].tolist() for n in t.ins + t.outs}
             kinds = {"float": "double", "int": "bigint", "str": "string"}
             schema = ", ".join([*(f"`{v.name}` {kinds[v.dtype]}" for v in t.inputs), *(f"`{o.name}` double" for o in t.outputs)])
             df = ctx.spark.createDataFrame(list(zip(*cols.values(), strict=True)), schema)
-            df = df.select(*[c(n) for n in t.input_names], *[formula.clean(c(n)).alias(n) for n in t.output_names])
+            df = df.select(*[c(n) for n in t.ins], *[formula.clean(c(n)).alias(n) for n in t.outs])
         else:
             df = ctx.spark.read.parquet(self.data)
         for x in tests:
-            if not x.column and x.name in t.input_names:
-                df = df.where(formula.compile_test(x, c(x.name), t.var(x.name).dtype))
+            if not x.column and x.name in t.ins:
+                df = df.where(formula.compile_test(x, c(x.name), t.input(x.name).dtype))
         return df, t
 
 
@@ -199,7 +199,7 @@ class Store:
         def go(n: Node) -> dict | None:
             """Values of n's inputs that the chunk touches; {} for all of them, None for none."""
             if n.op == "source":
-                return {k: v for k, v in coords.items() if k in types[n.id].input_names} if n.params["name"] == table else None
+                return {k: v for k, v in coords.items() if k in types[n.id].ins} if n.params["name"] == table else None
             got = [g for g in (go(k) for k in n.kids) if g is not None]
             if not got:
                 return None
@@ -208,12 +208,12 @@ class Store:
             lost = {n.params.get("along")} if n.op in ("swap", "legendre", "apply") else set()
             lost |= {n.params["name"]} if n.op == "transform" else set()
             common = {k: v for k, v in got[0].items() if all(g.get(k) == v for g in got[1:])}
-            return {k: v for k, v in common.items() if k in types[n.id].input_names and k not in lost}
+            return {k: v for k, v in common.items() if k in types[n.id].ins and k not in lost}
 
         got = go(node)
         if not got:
             return None if got is None or got == {} else []
-        return [lang.Test(k, "=", v if isinstance(v, str) else float(v)) for k, v in got.items() if k in f.type.input_names]
+        return [lang.Test(k, "=", v if isinstance(v, str) else float(v)) for k, v in got.items() if k in f.type.ins]
 
     def refresh(self, ds: Dataset, full: bool = False, force: bool = False) -> str:
         state = self.status(ds)
@@ -253,7 +253,7 @@ class Store:
             for tests in sets:
                 one = F.lit(True)
                 for t in tests:
-                    one = one & formula.compile_test(t, cols(t.name), whole.type.var(t.name).dtype)
+                    one = one & formula.compile_test(t, cols(t.name), whole.type.input(t.name).dtype)
                 out = out | one
             return out
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from curvelake.errors import FieldError
 from curvelake.plans import lang
-from curvelake.types import FieldType
+from curvelake.types import Column, Schema, made
 
 OPS: dict[str, Callable] = {}
 
@@ -94,7 +94,7 @@ class Field:
     """A DataFrame whose inputs determine its outputs."""
 
     df: DataFrame
-    type: FieldType
+    type: Schema
     node: Node
     ctx: Context
     pid: str = ""
@@ -110,7 +110,7 @@ class Field:
     def rows(self) -> DataFrame:
         """The points in the order of their inputs, checks first."""
         self.ctx.run_checks()
-        return self.df.orderBy(*[c(n) for n in self.type.input_names])
+        return self.df.orderBy(*[c(n) for n in self.type.ins])
 
     def to_pandas(self):
         return self.rows().toPandas()
@@ -122,7 +122,7 @@ class Field:
 def operator(name: str | None = None, same_points: bool = False):
     """Makes a function from fields and plain parameters an operator of the tree.
 
-    The function returns (DataFrame, FieldType).  ``same_points`` says that
+    The function returns (DataFrame, Schema).  ``same_points`` says that
     the result is on the first operand's points, whose identity it keeps.
     """
 
@@ -148,7 +148,7 @@ def operator(name: str | None = None, same_points: bool = False):
             node = Node(op, json.loads(json.dumps(params)), tuple(k.node for k in kids))
             ctx.types[node.id] = ftype
             keeps = same_points(params, kids) if callable(same_points) else same_points
-            return Field(df.select(*[c(n) for n in ftype.input_names + ftype.output_names]), ftype, node, ctx, kids[0].pid if keeps else "")
+            return Field(df.select(*[c(n) for n in ftype.ins + ftype.outs]), ftype, node, ctx, kids[0].pid if keeps else "")
 
         OPS[op] = call
         call.signature = sig
@@ -189,7 +189,7 @@ def build(node: Node, ctx: Context, made: dict[str, Field] | None = None) -> Fie
 THROUGH = {"select", "column", "map", "filter", "points", "join", "stack", "union", "reduce", "range", "deriv", "cumint", "resample", "eval", "align", "legendre", "swap", "span", "overlap", "merge_points", "apply", "rename", "slice"}
 
 
-def push(node: Node, tests: list[lang.Test], types: dict[str, FieldType], ctx: Context) -> None:
+def push(node: Node, tests: list[lang.Test], types: dict[str, Schema], ctx: Context) -> None:
     """Hands comparisons of inputs down to the tables that have them; what works along an input stops those of that input.
 
     A filter that is pushed is also applied where it was written, so pushing
@@ -201,7 +201,7 @@ def push(node: Node, tests: list[lang.Test], types: dict[str, FieldType], ctx: C
     tests = list(tests)
     blocked = {node.params.get("along")} | ({node.params.get("to")} if node.op == "transform" else set())
     if node.op in ("swap", "legendre"):
-        blocked |= {node.params.get("slope"), "branch"} | set(types[node.id].input_names) - set.intersection(*(set(types[k.id].input_names) for k in node.kids))
+        blocked |= {node.params.get("slope"), "branch"} | set(types[node.id].ins) - set.intersection(*(set(types[k.id].ins) for k in node.kids))
     if node.op == "rename":
         back = {v: k for k, v in node.params["names"].items()}
         tests = [lang.Test(back.get(t.name, t.name), t.op, t.value, t.column) for t in tests]
@@ -212,7 +212,7 @@ def push(node: Node, tests: list[lang.Test], types: dict[str, FieldType], ctx: C
     if node.op == "slice":
         tests.append(lang.Test(node.params["name"], "=", node.params["value"]))
     for i, k in enumerate(node.kids):
-        own = [t for t in tests if t.name == "*" or (t.name not in blocked and not t.column and t.name in types[k.id].input_names)]
+        own = [t for t in tests if t.name == "*" or (t.name not in blocked and not t.column and t.name in types[k.id].ins)]
         if node.op == "stack":
             tag = [t for t in tests if t.name == node.params["tag"]]
             own = [t for t in own if t.name != node.params["tag"]]
@@ -247,7 +247,7 @@ def _path_values(node: Node, u: str, ctx: Context) -> set | None:
         return {ch.values()[u] for ch in t.chunks(ctx.spark)} if u in getattr(t, "placed", {}) else None
     if node.op in ("rename", "stack") or not node.kids:
         return None
-    got = [_path_values(k, u, ctx) for k in node.kids if u in ctx.types[k.id].input_names]
+    got = [_path_values(k, u, ctx) for k in node.kids if u in ctx.types[k.id].ins]
     return None if not got or None in got else set().union(*got)
 
 

@@ -68,11 +68,11 @@ class Shell:
         e, where, settings, limit = clauses(rest)
         f = self.s.field(e, where, **settings)
         f.ctx.run_checks()
-        names = f.type.input_names
+        names = f.type.ins
         rows = f.df.orderBy(*[f"`{n}`" for n in names]) if names else f.df
         lines = [str(f.type)]
         got = rows.limit(20 if limit is None else limit).collect()
-        lines.append("  ".join(f.type.input_names + f.type.output_names))
+        lines.append("  ".join(f.type.ins + f.type.outs))
         lines += ["  ".join("nan" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in got]
         return lines + (f.ctx.report() if self.s.settings["report"] != "off" else [])
 

@@ -21,7 +21,7 @@ def export(f: Field, path: str) -> int:
         return rows.sparkSession.read.parquet(path).count()
     if kind not in (".csv", ".dat", ".txt"):
         raise FieldError(f"export writes .csv, .parquet, .dat or .txt, not {kind or path}")
-    names = f.type.input_names + f.type.output_names
+    names = f.type.ins + f.type.outs
     key = f.type.key()
     order = [*key, *([f.type.axis] if f.type.axis else [])]
     if kind != ".csv" and order:

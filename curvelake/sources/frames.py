@@ -12,10 +12,10 @@ from curvelake.errors import FieldError
 from curvelake.functions import formula
 from curvelake.operators.relational import SQL, duplicates
 from curvelake.plans.tree import Context, Field, c
-from curvelake.types import FieldType, Out, Var
+from curvelake.types import Schema, given, made, schema
 
 
-def normalized(df: DataFrame, ftype: FieldType, digits: int, ctx: Context, nan_rows: str = "drop") -> DataFrame:
+def normalized(df: DataFrame, ftype: Schema, digits: int, ctx: Context, nan_rows: str = "drop") -> DataFrame:
     """Declared types; float inputs rounded, NaN as NULL, and points with a missing input left out."""
     cols = []
     for v in ftype.inputs:
@@ -40,17 +40,17 @@ class Frame:
     """A DataFrame with declared inputs.  ``order`` names columns that place a row among its repeats."""
 
     make: Callable[[Context], DataFrame]
-    type: FieldType
+    type: Schema
     repeats: str = "error"
     order: tuple[str, ...] = ()
     digits: int = formula.DIGITS
     nan_rows: str = "drop"
 
-    def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, FieldType]:
+    def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, Schema]:
         df = self.make(ctx)
         place = [f"__{n}" for n in self.order]
         df = df.withColumns({p: c(n) for p, n in zip(place, self.order, strict=True)}) if place else df
-        names = self.type.input_names + self.type.output_names
+        names = self.type.ins + self.type.outs
         missing = [n for n in names if n not in df.columns]
         if missing:
             raise FieldError(f"no column {', '.join(missing)}; columns are {', '.join(df.columns)}")
@@ -58,24 +58,24 @@ class Frame:
         for t in tests:
             if t.name == "*":
                 df = df.where(F.lit(False))
-            elif t.name in self.type.input_names and not t.column:
-                df = df.where(formula.compile_test(t, c(t.name), self.type.var(t.name).dtype))
+            elif t.name in self.type.ins and not t.column:
+                df = df.where(formula.compile_test(t, c(t.name), self.type.input(t.name).dtype))
         policy = self.repeats if self.repeats == "unique" else repeats or self.repeats
         if policy in ("first", "last") and not place:
             raise FieldError(f"duplicates {policy} needs an order, which registered data do not have")
         if policy != "unique":
-            df = duplicates(df, self.type.input_names, policy, place, ctx)
+            df = duplicates(df, self.type.ins, policy, place, ctx)
         return df, self.type
 
 
-def declare(inputs: list[str], outputs: list[str], axis: str | None = None, exact: list[str] | None = None, dtypes: dict[str, str] | None = None, units: dict[str, str] | None = None) -> FieldType:
+def declare(inputs: list[str], outputs: list[str], axis: str | None = None, exact: list[str] | None = None, dtypes: dict[str, str] | None = None, units: dict[str, str] | None = None) -> Schema:
     """A type from names: inputs are exact but for the axis, and floats, unless said otherwise."""
     dtypes, units = dtypes or {}, units or {}
     exact = [n for n in inputs if n != axis] if exact is None else exact
-    return FieldType(tuple(Var(n, dtypes.get(n, "float"), n in exact, units.get(n)) for n in inputs), tuple(Out(n, units.get(n)) for n in outputs), axis)
+    return schema(tuple(given(n, dtypes.get(n, "float"), n in exact, units.get(n)) for n in inputs), tuple(made(n, units.get(n)) for n in outputs), axis)
 
 
-def field_of(ctx: Context, name: str, df: DataFrame, ftype: FieldType, repeats: str = "error", order: tuple[str, ...] = ()) -> Field:
+def field_of(ctx: Context, name: str, df: DataFrame, ftype: Schema, repeats: str = "error", order: tuple[str, ...] = ()) -> Field:
     """A field over a DataFrame, under a name that its tree uses."""
     from curvelake.plans.tree import OPS
 

@@ -53,7 +53,7 @@ def plot(session, text: str) -> str:
     base = os.path.join(session.folder, base)
     os.makedirs(os.path.dirname(base) or ".", exist_ok=True)
     rows = f.df
-    if o.error and o.error in f.type.output_names:
+    if o.error and o.error in f.type.outs:
         rows = rows.withColumn("__e", c(o.error))
     keys = f.type.key(x)
     cols = [c(k) for k in keys] + [c(x), c(o.name)] + ([F.col("__e")] if "__e" in rows.columns else [])
@@ -67,7 +67,7 @@ def plot(session, text: str) -> str:
                 titles.append(", ".join(f"{k}={v}" for k, v in zip(keys, at, strict=True) if k in spec["by"]) or spec["expr"])
             out.write(" ".join("nan" if v is None else str(v) for v in r[len(keys) :]) + "\n")
     style = "yerrorlines" if "__e" in rows.columns else {"points": "points", "both": "linespoints"}.get(look["style"], "lines")
-    unit = f.type.var(x).unit
+    unit = f.type.input(x).unit
     lines = [
         f"set terminal pngcairo size {look['size']}", f"set output '{base}.png'", f"set xlabel '{x}{f' [{unit}]' if unit else ''}'", f"set ylabel '{o.name}{f' [{o.unit}]' if o.unit else ''}'",
         "plot " + ", ".join(f"'{base}.data' index {i} with {style} title '{t}'" for i, t in enumerate(titles)),

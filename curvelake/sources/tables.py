@@ -19,7 +19,7 @@ from curvelake.plans.tree import Context, c
 from curvelake.sources import index, readers
 from curvelake.sources.frames import normalized
 from curvelake.sources.template import KINDS, Template
-from curvelake.types import FieldType, Out, Var
+from curvelake.types import Schema, given, made, schema
 
 VERSION = "0.2"
 LOCATORS = ("glob", "sqlite", "hdf5")
@@ -140,7 +140,7 @@ class Table:
         return names or [n for n in self.spec.get("columns", {}) if n not in self.placed and n not in self.constants]
 
     @property
-    def type(self) -> FieldType:
+    def type(self) -> Schema:
         f, meta = self.spec["field"], self.spec.get("columns", {})
         inputs = f["inputs"]
         placed = set(self.placed) | set(self.constants)
@@ -161,14 +161,14 @@ class Table:
                 return "str" if isinstance(self.constants[n], str) else "int" if isinstance(self.constants[n], int) else "float"
             return meta.get(n, {}).get("type", "float")
 
-        ins = tuple(Var(n, kind(n), n in exact if exact is not None else n != axis, meta.get(n, {}).get("unit")) for n in inputs)
+        ins = tuple(given(n, kind(n), n in exact if exact is not None else n != axis, meta.get(n, {}).get("unit")) for n in inputs)
         named = []
         for n in outs:
             e = meta.get(n, {}).get("error")
-            named.append(Out(n, meta.get(n, {}).get("unit"), e))
+            named.append(made(n, meta.get(n, {}).get("unit"), e))
             if e and e not in outs:
-                named.append(Out(e, meta.get(n, {}).get("unit")))
-        return FieldType(ins, tuple(named), axis)
+                named.append(made(e, meta.get(n, {}).get("unit")))
+        return schema(ins, tuple(named), axis)
 
     @property
     def identity(self) -> str:
@@ -196,12 +196,12 @@ class Table:
         usable = [t for t in tests if t.name not in self.transforms or t.name in path_only]
         return index.prune(self.chunks(spark), usable, path_only)
 
-    def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, FieldType]:
+    def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, Schema]:
         """Rows of the chosen chunks: constants and path inputs added, conventions applied, inputs rounded, repeats settled."""
         spark, ftype, meta = ctx.spark, self.type, self.spec.get("columns", {})
         used = self._used()
         placed = set(self.placed) | set(self.constants)
-        wanted = [n for n in [*ftype.input_names, *ftype.output_names] if n not in placed and n not in self.transforms and n not in self.maps]
+        wanted = [n for n in [*ftype.ins, *ftype.outs] if n not in placed and n not in self.transforms and n not in self.maps]
         wanted += [n for n in sorted(used) if n not in placed and n not in wanted and n not in self.transforms and (n not in self.maps or n in self.content_columns)]
         kinds = {v.name: v.dtype for v in ftype.inputs}
         content = [(n, kinds.get(n, meta.get(n, {}).get("type", "float"))) for n in dict.fromkeys(wanted)]
@@ -233,13 +233,13 @@ class Table:
         for section in (self.transforms, self.maps):
             for n, e in section.items():
                 df = df.withColumn(n, formula.compile_formula(e, {x: c(x) for x in df.columns}))
-        names = ftype.input_names + ftype.output_names
+        names = ftype.ins + ftype.outs
         df = normalized(df.select(*[c(n) for n in names], "__path", "__row"), ftype, self.digits, ctx, nan_rows or self.nan_rows)
         for t in tests:
             if not t.column and t.name in kinds:
                 df = df.where(formula.compile_test(t, c(t.name), kinds[t.name]))
         own = self.spec["field"].get("duplicates")
-        return duplicates(df, ftype.input_names, own or repeats or self.repeats, ["__path", "__row"], ctx), ftype
+        return duplicates(df, ftype.ins, own or repeats or self.repeats, ["__path", "__row"], ctx), ftype
 
 
 def _near(t: lang.Test, column):

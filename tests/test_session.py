@@ -157,7 +157,7 @@ def test_sqlite(spark, tmp_path, session):
     session.add_table("q", Table.declared("q", spec, str(tmp_path)))
     got = session.eval("q.E", where="U=[2, 3]").to_pandas()
     assert got["E"].tolist() == [8.0, 4.0, 2.0]
-    assert session.field("q").type.output_names == ["E", "dE"]
+    assert session.field("q").type.outs == ["E", "dE"]
 
 
 def test_binary_and_csv(spark, tmp_path, session):
