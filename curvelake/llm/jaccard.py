@@ -571,6 +571,7 @@ class Join:
     def linked(self, pairs: DataFrame, sets: DataFrame, links: DataFrame | None = None, labels: DataFrame | None = None, turns: tuple = TURNS) -> tuple[DataFrame, DataFrame]:
         """Links, those before included, that connect what the pairs connect, and the components' labels.
 
+        Pairs with the label of a are of different components already.
         Each class is first tried with the candidate that it met in most
         units; what a component then holds needs no more.  Next comes the best
         candidate of each class in each component that it may belong to, and
@@ -579,7 +580,8 @@ class Join:
         left = pairs
         for keys in turns:
             if labels is not None:
-                left = self.scratch.cut(self.apart(left, self.named(labels)))
+                if "la" not in left.columns:
+                    left = self.scratch.cut(self.apart(left, self.named(labels)))
                 if left.isEmpty():
                     break
             now = left.select("a", "b")
@@ -734,10 +736,11 @@ class Join:
         return self.scratch.cut(sets.select("who", "set").mapInArrow(first, "grp long, who long, n long, pos long"))
 
     def _meeting(self, both: DataFrame) -> DataFrame:
-        """``a, b, units`` of pairs that may be similar: before the first shingle that they share neither has more than the rest."""
+        """``a, b, units`` (and the label of a, where there are labels) of pairs that may be similar: before the first shingle that they share neither has more than the rest."""
         least = F.ceil((F.col("n_a") + F.col("n_b")) * self.percent / (100 + self.percent))
         both = both.where((F.col("pos_a") + least <= F.col("n_a")) & (F.col("pos_b") + least <= F.col("n_b")))
-        return self.scratch.cut(both.groupBy(F.least("who_a", "who_b").alias("a"), F.greatest("who_a", "who_b").alias("b")).agg(F.count("*").alias("units")))
+        label = [F.min(F.when(F.col("who_a") < F.col("who_b"), F.col("label_a")).otherwise(F.col("label_b"))).alias("la")] if "label_a" in both.columns else []
+        return self.scratch.cut(both.groupBy(F.least("who_a", "who_b").alias("a"), F.greatest("who_a", "who_b").alias("b")).agg(F.count("*").alias("units"), *label))
 
     def _some(self, flat: DataFrame) -> DataFrame:
         """A linear number of pairs, by which groups of near copies fall together: a group is dealt into parts of about ``PART``, anew for each shingle."""
