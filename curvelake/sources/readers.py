@@ -60,23 +60,52 @@ def parse_text(data: bytes, spec: dict, path: str = "") -> dict[str, list]:
     return out
 
 
+#: Byte orders by name (fixed values of the table format).
+ORDERS = {"little": "<", "big": ">"}
+
+
+def raw_columns(data: bytes, spec: dict, path: str) -> list[np.ndarray]:
+    """Columns of a file of numbers only: records of one number a column, or one block a column."""
+    count, body = len(spec["columns"]), memoryview(data)[int(spec.get("header_bytes", 0)) :]
+    number = np.dtype(spec.get("dtype", "float64")).newbyteorder(ORDERS.get(spec.get("endian", "little"), "="))
+    rows, rest = divmod(len(body), number.itemsize * count)
+    if rest:
+        raise FieldError(f"{path}: {rest} bytes are left after {rows} rows of {count} numbers")
+    if spec.get("order", "rows") == "rows":
+        records = np.frombuffer(body, [(f"c{i}", number) for i in range(count)])
+        return [records[f"c{i}"] for i in range(count)]
+    return list(np.frombuffer(body, number).reshape(count, rows))
+
+
+def array_columns(a: np.ndarray, spec: dict, path: str) -> list[np.ndarray]:
+    """Columns of an array of one dimension, which is one column, or two."""
+    if a.ndim > 2:
+        raise FieldError(f"{path}: an array of {a.ndim} dimensions is no table")
+    columns = [a] if a.ndim == 1 else list(a) if spec.get("transpose") else list(a.T)
+    if len(columns) != len(spec["columns"]):
+        raise FieldError(f"{path}: {len(columns)} columns, {len(spec['columns'])} were declared")
+    return columns
+
+
 def parse_array(data: bytes, spec: dict, path: str = "") -> dict[str, list]:
-    """Columns of a two-dimensional array: NumPy's file format, or raw numbers."""
-    names = spec["columns"]
-    if spec["format"] == "npy":
-        a = np.load(io.BytesIO(data), allow_pickle=False)
-        a = a[:, None] if a.ndim == 1 else a
-        a = a.T if spec.get("transpose") else a
+    """Columns of a file of numbers, in NumPy's format or raw; one declared as ``_`` is left out."""
+    if spec["format"] == "raw":
+        columns = raw_columns(data, spec, path)
     else:
-        kind = np.dtype(spec.get("dtype", "float64")).newbyteorder({"little": "<", "big": ">"}.get(spec.get("endian", "little"), "="))
-        body = data[int(spec.get("header_bytes", 0)) :]
-        if len(body) % (kind.itemsize * len(names)):
-            raise FieldError(f"{path}: {len(body)} bytes are not whole rows of {len(names)} x {kind.itemsize}")
-        a = np.frombuffer(body, kind)
-        a = a.reshape(-1, len(names)) if spec.get("order", "rows") == "rows" else a.reshape(len(names), -1).T
-    if a.ndim != 2 or a.shape[1] != len(names):
-        raise FieldError(f"{path}: {a.shape[-1]} columns, {len(names)} were declared")
-    return {n: a[:, i].tolist() for i, n in enumerate(names) if n != "_"}
+        columns = array_columns(np.load(io.BytesIO(data), allow_pickle=False), spec, path)
+    return {n: c.tolist() for n, c in zip(spec["columns"], columns, strict=True) if n != "_"}
+
+
+def dataset_columns(a: np.ndarray, spec: dict, path: str = "") -> dict[str, list]:
+    """Columns of a dataset: a record array's fields under the names that ``fields`` maps to them, or the columns of a plain one."""
+    if a.dtype.names:
+        fields = spec.get("fields") or list(a.dtype.names)
+        named = fields if isinstance(fields, dict) else {n: n for n in fields}
+        unknown = [old for old in named.values() if old not in a.dtype.names]
+        if unknown:
+            raise FieldError(f"{path}: no field {unknown[0]}; there are {', '.join(a.dtype.names)}")
+        return {new: a[old].ravel().tolist() for new, old in named.items()}
+    return {n: c.tolist() for n, c in zip(spec["columns"], array_columns(a, spec, path), strict=True) if n != "_"}
 
 
 def parse_hdf5(data: bytes, spec: dict, path: str = "") -> dict[str, list]:
@@ -86,12 +115,7 @@ def parse_hdf5(data: bytes, spec: dict, path: str = "") -> dict[str, list]:
     except ImportError as e:
         raise FieldError("reading HDF5 needs the h5py library") from e
     with h5py.File(io.BytesIO(data), "r") as f:
-        a = f[spec["dataset"]][()]
-    if a.dtype.names:
-        fields = spec.get("fields") or list(a.dtype.names)
-        return {n: a[n].tolist() for n in fields}
-    a = a.T if spec.get("transpose") else a
-    return {n: a[:, i].tolist() for i, n in enumerate(spec["columns"]) if n != "_"}
+        return dataset_columns(f[spec["dataset"]][()], spec, path)
 
 
 def hdf5_chunks(spark: SparkSession, root: str, files, objects) -> list:
