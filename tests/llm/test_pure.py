@@ -63,8 +63,8 @@ def test_dictionaries_are_trained_on_either_class():
     toxic = [" ".join([*(word() for _ in range(60)), "xyzzy" + word(), *(word() for _ in range(60))]) for _ in range(400)]
     own, rest = toxicity.dictionaries(toxic, ordinary)
     assert len(own) == len(rest) == toxicity.CLASS_BYTES + toxicity.BACKGROUND_BYTES
-    gains = toxicity.Model(own, rest, 0.0, [0.0] * 5).gains([" ".join(["xyzzy" + word() for _ in range(16)]), ordinary[0]])
-    assert gains[0].min() > 16 * 6 and gains[1].max() < 16
+    gains = toxicity.Model(own, rest, 0.0, [0.0] * 5).gains([" ".join(["xyzzy" + word(), *(word() for _ in range(15))]), ordinary[0]])
+    assert gains[0].min() >= 10 and abs(gains[1]).max() <= 3  # one word is enough, and chance matches are alike on both sides
     assert own[toxicity.CLASS_BYTES :] == rest[toxicity.CLASS_BYTES :]
 
 
