@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce as fold
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -259,7 +260,7 @@ def transform_rescale(d):
 
 
 @query("SELECT s_nationkey::BIGINT AS c_nationkey, " + rs("s_suppkey * 2 + s_acctbal / 1e6") + " AS z, " + rs("s_acctbal") + " AS s_acctbal FROM supplier")
-def transform_with_field(d):
+def transform_with_output(d):
     return shown(d.supplier.transform("s_suppkey", "z", "s_suppkey*2+s_acctbal/1e6"))
 
 
@@ -288,10 +289,13 @@ def join_three_way(d):
     return shown(OPS["join"]([d.customer, d.supplier, d.nation], labels=["c", "s", "n"]))
 
 
-@query("SELECT count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query(
+    "SELECT 'points of s without a match' AS what, count(*) AS n FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer) "
+    "UNION ALL SELECT 'points of c without a match', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)"
+)
 def unmatched_report(d):
-    keys = d.supplier.points().df.select("c_nationkey").distinct()
-    return d.customer.df.join(keys, "c_nationkey", "left_anti").agg(F.count("*").alias("n"))
+    ctx = OPS["join"]([d.customer, d.supplier], labels=["c", "s"]).ctx
+    return fold(DataFrame.unionByName, [rows.agg(F.lit(what).alias("what"), F.count("*").alias("n")) for what, rows in ctx.notes if what.startswith("points of")])
 
 
 @query(f"WITH {EVU} SELECT event_type AS kind, user_id, {rs('t', 5)} AS t, {rs('value')} AS value FROM evu WHERE event_type IN ('view', 'click')")
@@ -511,11 +515,6 @@ for _m in ("linear", "pchip"):
     query(_align_sql(_m), f"align_sub_{_m}")(lambda d, _m=_m: shown(_aligned(d, _m), t=4, value=4))
 
 
-@query(f"WITH {_TWO} SELECT user_id, {rs('t', 4)} AS t FROM a")
-def like_grid(d):
-    return shown(d.kind("view").points(), t=4)
-
-
 @query(_align_sql("linear").replace("va.v - vb.v", "va.v - mx.m").replace("FROM va JOIN vb ON va.user_id = vb.user_id AND va.q = vb.q", "FROM va JOIN (SELECT user_id, max(value) AS m FROM b GROUP BY user_id) mx ON mx.user_id = va.user_id"))
 def align_broadcast(d):
     a, b = d.kind("view"), d.kind("click")

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from curvelake import language_queries, source_queries
 from curvelake import queries as Q
 
 from .conftest import DATA
@@ -13,10 +14,10 @@ from .conftest import DATA
 TABLES = "region nation customer supplier part orders lineitem events".split()
 QUICK = [
     "source_norm", "dup_mean", "dup_first", "dup_last", "dup_drop", "slice_key", "map_funcs", "map_div_zero", "map_minmax", "filter_ne_keeps_missing", "filter_col_col", "filter_eq_list",
-    "transform_with_field", "join_three_way", "join_product", "stack_tag_filter", "union_points", "reduce_argmax", "reduce_first", "reduce_exact_input", "integral_akima", "integral_trapz",
+    "transform_with_output", "join_three_way", "join_product", "stack_tag_filter", "union_points", "reduce_argmax", "reduce_first", "reduce_exact_input", "integral_akima", "integral_trapz",
     "deriv_fd2", "deriv_akima", "deriv_pchip2", "cumint_pchip", "eval_pchip", "resample_akima_fixed", "extrap_extend", "fewpoints_drop", "resample_cubic", "span_log", "span_step",
     "overlap_grid", "merge_points", "align_sub_pchip", "align_broadcast", "swap_branches", "legendre_convex", "plugin_reduce", "plugin_curve",
-]
+] + [*language_queries.NAMES, *source_queries.NAMES, "unmatched_report"]
 
 
 @pytest.fixture(scope="module")
