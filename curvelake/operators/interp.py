@@ -64,27 +64,63 @@ def _akima_slope(key: list[Column]) -> Column:
     return F.when(a + b > 1e-9 * top, F.try_divide(a * s1 + b * s2, a + b)).otherwise((s1 + s2) / 2)
 
 
-def cubic_slopes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slopes of the twice smooth cubic whose outer two pairs of segments are one cubic each."""
-    n = len(x)
-    h = np.diff(x)
-    d = np.diff(y) / h
-    low, mid, up, rhs = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    low[1:-1], mid[1:-1], up[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
-    rhs[1:-1] = 3 * (h[1:] * d[:-1] + h[:-1] * d[1:])
-    mid[0], up[0] = h[1], h[0] + h[1]
-    rhs[0] = ((h[0] + 2 * up[0]) * h[1] * d[0] + h[0] ** 2 * d[1]) / up[0]
-    mid[-1], low[-1] = h[-2], h[-1] + h[-2]
-    rhs[-1] = (h[-1] ** 2 * d[-2] + (2 * low[-1] + h[-1]) * h[-2] * d[-1]) / low[-1]
-    for i in range(1, n):
+#: Curves that are worked on together; what is left of fewer goes point by point.
+TOGETHER = 8
+
+
+def cubic_slopes(x: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Slopes of the twice smooth cubics whose outer two pairs of segments are one cubic each; rows of no curve get none.
+
+    Each curve's system has three diagonals.  It is eliminated one point of
+    all curves at a time, the longest curves first, so those that go on are
+    always the first ones.
+    """
+    by_length = np.argsort(starts - ends, kind="stable")
+    starts, ends = starts[by_length], ends[by_length]
+    lens = ends - starts
+    out = np.full(len(x), np.nan)
+    if not len(lens):
+        return out
+    first, last = starts, ends - 1
+    h = np.diff(x, append=np.nan)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = np.diff(y, append=np.nan) / h
+    before = np.concatenate([h[:1], h[:-1]])
+    low, mid, up = h.copy(), 2 * (before + h), before.copy()
+    rhs = 3 * (h * np.concatenate([d[:1], d[:-1]]) + before * d)
+    mid[first], up[first] = h[first + 1], h[first] + h[first + 1]
+    rhs[first] = ((h[first] + 2 * up[first]) * h[first + 1] * d[first] + h[first] ** 2 * d[first + 1]) / up[first]
+    mid[last], low[last] = h[last - 2], h[last - 1] + h[last - 2]
+    rhs[last] = (h[last - 1] ** 2 * d[last - 2] + (2 * low[last] + h[last - 1]) * h[last - 2] * d[last - 1]) / low[last]
+    # How many curves have more than k points, for each k; a few long ones end in steps of one curve.
+    more = len(lens) - np.searchsorted(lens[::-1], np.arange(lens[0] + 1), side="right")
+    shared = int(np.searchsorted(-more, -TOGETHER, side="right"))
+    rest = [(a, z) for a, z, n in zip(starts.tolist(), ends.tolist(), lens.tolist(), strict=True) if n > max(shared, 1)]
+
+    for k in range(1, shared):
+        i = first[: more[k]] + k
         f = low[i] / mid[i - 1]
         mid[i] -= f * up[i - 1]
         rhs[i] -= f * rhs[i - 1]
-    m = np.zeros(n)
-    m[-1] = rhs[-1] / mid[-1]
-    for i in range(n - 2, -1, -1):
-        m[i] = (rhs[i] - up[i] * m[i + 1]) / mid[i]
-    return m
+    for a, z in rest:
+        at = a + max(shared, 1) - 1
+        lo, mi, u, r = (v[at:z].tolist() for v in (low, mid, up, rhs))
+        for i in range(1, len(lo)):
+            f = lo[i] / mi[i - 1]
+            mi[i] -= f * u[i - 1]
+            r[i] -= f * r[i - 1]
+        mid[at:z], rhs[at:z] = mi, r
+    out[last] = rhs[last] / mid[last]
+    for k in range(1, shared):
+        i = last[: more[k]] - k
+        out[i] = (rhs[i] - up[i] * out[i + 1]) / mid[i]
+    for a, z in rest:
+        to = z - max(shared, 1)  # the points after it have their slopes
+        mi, u, r, m = (v[a : to + 1].tolist() for v in (mid, up, rhs, out))
+        for i in range(len(m) - 2, -1, -1):
+            m[i] = (r[i] - u[i] * m[i + 1]) / mi[i]
+        out[a : to + 1] = m
+    return out
 
 
 def smooth_values(x: np.ndarray, y: np.ndarray, s: float) -> np.ndarray:
@@ -113,22 +149,41 @@ def smooth_values(x: np.ndarray, y: np.ndarray, s: float) -> np.ndarray:
 
 
 def _solved(df: DataFrame, key: list[str], x: str, y: str, name: str, s: float) -> DataFrame:
-    """``__m`` (and smoothed y) by a solve for each curve; short curves get none."""
+    """Points with ``__m`` (and smoothed y) by a solve for each curve, the count of its points, and what the next point has; short curves get no slopes."""
     need = NEEDS[name]
 
     def solve(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         xs, ys = rows[x].to_numpy(float), rows[y].to_numpy(float).copy()
-        m = np.full(len(rows), np.nan)
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            if b - a >= need:
-                if name == "smooth":
-                    ys[a:b] = smooth_values(xs[a:b], ys[a:b], s)
-                m[a:b] = cubic_slopes(xs[a:b], ys[a:b])
-        return rows.assign(**{y: ys, "__m": m})
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", __m double"
+        enough = ends - starts >= need
+        if name == "smooth":
+            for a, b in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
+                ys[a:b] = smooth_values(xs[a:b], ys[a:b], s)
+        m = cubic_slopes(xs, ys, starts[enough], ends[enough])
+        after = {}
+        for n, v in (("__x1", xs), ("__y1", ys), ("__m1", m)):
+            v = np.append(v[1:], np.nan)
+            v[ends - 1] = np.nan
+            after[n] = v
+        return rows.assign(**{y: ys, "__m": m, "__n": np.repeat(ends - starts, ends - starts)}, **after)
+
+    added = ("__m", "__x1", "__y1", "__m1")
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", __m double, __n long, __x1 double, __y1 double, __m1 double"
     solved = per_curve(df, key, x, solve, schema)
-    return solved.withColumn("__m", F.when(F.isnan("__m"), None).otherwise(F.col("__m")))
+    return solved.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in added})
+
+
+def _neighbours(df: DataFrame, keys: list[Column], x: str, y: str, name: str) -> DataFrame:
+    """Points with their slopes from a few neighbours, and what the next point has."""
+    w = Window.partitionBy(*keys).orderBy(c(x))
+    nx, ny = F.lead(c(x)).over(w), F.lead(c(y)).over(w)
+    df = df.withColumns({"__n": F.count("*").over(Window.partitionBy(*keys)), "__h": (nx - c(x)).cast("double"), "__d": F.try_divide(ny - c(y), nx - c(x))})
+    if name == "pchip":
+        df = df.withColumns(dict(_pchip(x, y, w)))
+    elif name == "akima":
+        df = df.withColumns(dict(_akima(x, y, w))).withColumn("__m", _akima_slope(keys)).drop("__s0", "__s1", "__s2", "__s3")
+    else:
+        df = df.withColumn("__m", F.lit(None).cast("double"))
+    return df.withColumns({"__x1": nx, "__y1": ny, "__m1": F.lead("__m").over(w)})
 
 
 def segments(df: DataFrame, key: list[str], x: str, y: str, method: str, few: str, ctx: Context | None = None) -> DataFrame:
@@ -145,23 +200,15 @@ def segments(df: DataFrame, key: list[str], x: str, y: str, method: str, few: st
     keys = [c(n) for n in key]
     df = df.select(*keys, c(x), c(y)).where(c(y).isNotNull() & c(x).isNotNull())
     if name in ("cubic", "smooth"):
+        # The step over whole curves knows each point's next one, so the rows need not be dealt again.
         df = _solved(df, key, x, y, name, s)
-    w = Window.partitionBy(*keys).orderBy(c(x))
-    whole = Window.partitionBy(*keys)
-    nx, ny = F.lead(c(x)).over(w), F.lead(c(y)).over(w)
-    df = df.withColumns({"__n": F.count("*").over(whole), "__h": (nx - c(x)).cast("double"), "__d": F.try_divide(ny - c(y), nx - c(x))})
-    if name == "pchip":
-        df = df.withColumns(dict(_pchip(x, y, w)))
-    elif name == "akima":
-        df = df.withColumns(dict(_akima(x, y, w))).withColumn("__m", _akima_slope(keys)).drop("__s0", "__s1", "__s2", "__s3")
-    elif name == "linear":
-        df = df.withColumn("__m", F.lit(None).cast("double"))
+        df = df.withColumns({"__h": F.col("__x1") - c(x), "__d": F.try_divide(F.col("__y1") - c(y), F.col("__x1") - c(x))})
+    else:
+        df = _neighbours(df, keys, x, y, name)
     enough = F.col("__n") >= NEEDS[name]
     if few == "error" and ctx is not None:
         ctx.check(f"curves with fewer than {NEEDS[name]} points", df.where(~enough).select(*keys).distinct())
     straight = F.lit(True) if name == "linear" else ~enough
-    m1 = F.lead("__m").over(w)
-    df = df.withColumns({"__x1": nx, "__y1": ny, "__m1": m1})
     seg = F.struct(
         c(x).cast("double").alias("x0"), c(y).alias("y0"), F.col("__x1").cast("double").alias("x1"), F.col("__y1").alias("y1"),
         F.when(straight, F.col("__d")).otherwise(F.col("__m")).alias("a"), F.when(straight, F.col("__d")).otherwise(F.col("__m1")).alias("b"),
