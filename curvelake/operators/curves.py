@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce as fold
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from curvelake.functions import formula
 from curvelake.operators import interp
 from curvelake.plans import lang
 from curvelake.plans.tree import OPS, Field, c, operator
-from curvelake.types import Column, Schema, given, made, schema
+from curvelake.types import Schema, given, made, schema
 
 REDUCTIONS = ("max", "min", "mean", "sum", "count", "first", "last", "argmax", "argmin", "integral")
 
@@ -203,9 +205,8 @@ def _on_grid(f: Field, grid: Field, x: str, method: str, extrapolate: str, fewpo
         none = F.lit(None).cast(dict(seg.dtypes)["__seg"])
         part = seg.select(*keys, c(x).cast("double").alias("__x"), *[(F.col("__seg") if j == i else none).alias(f"__seg{j}") for j in range(len(outs))])
         rows = part if rows is None else rows.unionByName(part)
-    # Each curve's range and first segments, and the grid points that agree with its key.
-    ranges = [F.struct(F.min(F.col(f"__seg{j}.x0")).alias("lo"), F.max(F.col(f"__seg{j}.x1")).alias("hi"), F.min_by(f"__seg{j}", F.col(f"__seg{j}.x0")).alias("seg")).alias(f"__r{j}") for j in range(len(outs))]
-    curves = rows.groupBy(*keys).agg(*ranges)
+    # The curves' keys come from their points, which costs no second pass over segments, and the grid points that agree with each key.
+    curves = f.df.select(*keys).distinct()
     common = [n for n in grid.type.ins if n in key]
     more = [n for n in grid.type.ins if n not in key and n != x]
     g = grid.df.select(*[c(n) for n in common + more], c(x).cast("double").alias("__x"))
@@ -216,12 +217,16 @@ def _on_grid(f: Field, grid: Field, x: str, method: str, extrapolate: str, fewpo
         rows = rows.join(g.select(*[c(n) for n in common + more]).distinct(), common) if common else rows.join(g.select(*[c(n) for n in more]).distinct())
     names = key + more
     cols = [c(n) for n in names]
-    r_none = [F.lit(None).cast(dict(curves.dtypes)[f"__r{j}"]).alias(f"__r{j}") for j in range(len(outs))]
-    both = rows.select(*cols, "__x", F.lit(0).alias("__g"), *[F.col(f"__seg{j}") for j in range(len(outs))], *r_none).unionByName(
-        asked.select(*cols, "__x", F.lit(1).alias("__g"), *segs, *[F.col(f"__r{j}") for j in range(len(outs))])
-    )
-    w = Window.partitionBy(*cols).orderBy("__x", "__g").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumns({f"__s{j}": F.last(f"__seg{j}", ignorenulls=True).over(w) for j in range(len(outs))}).where("__g = 1")
+    both = rows.select(*cols, "__x", F.lit(0).alias("__g"), *[F.col(f"__seg{j}") for j in range(len(outs))]).unionByName(asked.select(*cols, "__x", F.lit(1).alias("__g"), *segs))
+    w = Window.partitionBy(*cols).orderBy("__x", "__g")
+    sofar, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The last segment before each grid point, and each curve's range and first segment; curves without a segment have none.
+    found = {f"__s{j}": F.last(f"__seg{j}", ignorenulls=True).over(sofar) for j in range(len(outs))}
+    for j in range(len(outs)):
+        first, last = F.first(f"__seg{j}", ignorenulls=True).over(whole), F.last(f"__seg{j}", ignorenulls=True).over(whole)
+        found[f"__r{j}"] = F.struct(first["x0"].alias("lo"), last["x1"].alias("hi"), first.alias("seg"))
+    both = both.withColumns(found).where(F.col("__g") == 1)
+    both = both.where(fold(or_, [F.col(f"__r{j}.seg").isNotNull() for j in range(len(outs))]))
     got = []
     for j, y in enumerate(outs):
         r, q = F.col(f"__r{j}"), F.col("__x")
