@@ -28,8 +28,8 @@ def norm_value(v: float, digits: int = DIGITS) -> float:
 
 
 def clean(c: Column) -> Column:
-    """NaN as NULL."""
-    return F.when(F.isnan(c), None).otherwise(c)
+    """NaN as NULL.  The column occurs once, so that nested formulas do not grow by powers of two."""
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def _log(f):
@@ -45,7 +45,7 @@ TWO = {"min": F.least, "max": F.greatest}
 
 def divide(a: Column, b: Column) -> Column:
     """a / b; by zero as IEEE has it (NULL for 0/0)."""
-    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
+    return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))
 
 
 def names(e) -> set[str]:
@@ -78,7 +78,7 @@ def compile_formula(e, columns: dict[str, Column]) -> Column:
             return -go(e.arg)
         if isinstance(e, lang.Bin):
             a, b = go(e.left), go(e.right)
-            return clean({"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: divide(a, b), "^": lambda: F.pow(a, b)}[e.op]())
+            return clean({"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b if constant(e.right) else divide(a, b), "^": lambda: F.pow(a, b)}[e.op]())
         if isinstance(e, lang.Call) and not e.options:
             args = [go(x) for x in e.args]
             if e.fn in ONE and len(args) == 1:
