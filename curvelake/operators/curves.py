@@ -88,16 +88,6 @@ def _gradient(x: Column, y: Column, w: Window) -> Column:
     return F.when(xa.isNull() & xb.isNull(), None).when(xa.isNull(), F.try_divide(yb - y, hd)).when(xb.isNull(), F.try_divide(y - ya, hs)).otherwise(inner)
 
 
-def _with_segments(f: Field, key: list[str], x: str, y: str, method: str, few: str) -> DataFrame:
-    """All points of a field with the columns of ``interp.segments`` at the valid ones.
-
-    A window method runs over all rows of the frame, so no join brings the
-    results back; methods that solve whole curves are joined on the inputs.
-    """
-    seg = interp.segments(f.df, key, x, y, method, few, f.ctx).drop(y)
-    return f.df.join(seg, [*key, x], "left")
-
-
 @operator(same_points=True)
 def deriv(f: Field, along: str | None = None, order: int = 1, method: str = "pchip", fewpoints: str = "linear"):
     """A derivative along x at a curve's own points: of the interpolant, or by differences (``fd``)."""

@@ -14,8 +14,6 @@ from curvelake.plans.tree import Context, Field, c, operator
 from curvelake.types import Column, given, made, schema
 
 SQL = {"float": "double", "int": "bigint", "str": "string"}
-#: Rows of a keyed operand up to which it is broadcast.
-SMALL_ROWS = 200_000
 
 
 def columns(f: Field) -> dict[str, Column]:
