@@ -20,13 +20,14 @@ for each class.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,10 @@ ROUNDS = 14
 #: Tokens of one padded group of documents and of the batches taken together, and of a segment of a longer sequence.
 GROUP = 1_000_000
 SEGMENT = 100_000
+#: Tokens whose expected counts are added to the classes at once.
+BLOCK = 200_000
+#: Bytes of words that one task holds while it counts.
+COUNTED = 256 << 20
 END = b"\n"  # no word is a line feed
 ADDED = 0.5
 
@@ -86,22 +91,43 @@ def _table(voc: Vocabulary, words: bytes) -> tuple[dict[bytes, int], np.ndarray]
     return _tables[key]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of all texts, one after the other, and how many each text has; an absent text has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = pc.cast(pc.list_flatten(lists), pa.binary())
+    lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # space at either end leaves an empty string there
+    if not full.all():
+        before = np.concatenate([[0], np.cumsum(full)])
+        ends = np.cumsum(lens)
+        flat, lens = flat.filter(pa.array(full)), before[ends] - before[ends - lens]
+    return flat, lens
+
+
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    summed = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+    return pa.table({"word": summed["word"], "c": summed["c_sum"]})
+
+
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """``word, c`` over all rows; each task sums its own before anything moves."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(c), pa.binary()), "c": pa.array(list(c.values()), pa.int64())})
-
-        counts: Counter = Counter()
+        held, rows, size = [], 0, 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(tokens(t))
-                if len(counts) > 1_000_000:
-                    yield out(counts)
-                    counts = Counter()
-        if counts:
-            yield out(counts)
+            words, _ = split_words(b.column(0))
+            counts = words.value_counts()
+            ends = pa.table({"word": pa.array([END], pa.binary()), "c": pa.array([b.num_rows], pa.int64())})
+            held += [pa.table({"word": counts.field("values"), "c": counts.field("counts")}), ends]
+            rows, size = rows + len(counts), size + counts.nbytes
+            if rows > 2_000_000 or size > COUNTED:
+                held = [_summed(held)]
+                rows, size = held[0].num_rows, held[0].nbytes
+                if rows > 1_000_000 or size > COUNTED // 2:
+                    yield from held[0].to_batches()
+                    held, rows, size = [], 0, 0
+        if held:
+            yield from _summed(held).to_batches()
 
     return docs.select(text_col).mapInArrow(partial, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -146,27 +172,35 @@ def encode(docs: DataFrame, voc: Vocabulary, id_col: str, text_col: str, held: F
         log_count = np.log10(counts + ADDED)
         at = TaskContext.get().partitionId() << 33
         for b in batches:
-            ids, held_out = b.column(0), b.column(2)
-            rows: dict[str, list] = {k: [] for k in ("n", "known", "head", "shared", "classes", "rare")}
-            for t in b.column(1).to_pylist():
-                ts = tokens(t)
-                found = np.array([place.get(w, -1) for w in ts], np.int64)
-                missing = np.flatnonzero(found < 0)
-                cls = classes[found] if len(classes) else found.copy()
-                for i in missing.tolist():
-                    cls[i] = shell.shared_class(ts[i])
-                inside = found[found >= 0]
-                rows["n"].append(len(ts))
-                rows["known"].append(len(inside))
-                rows["head"].append(float(log_head[inside].sum()))
-                rows["shared"].append(float(log_count[inside[inside >= own]].sum()))
-                rows["classes"].append(cls.astype("<u2").tobytes())
-                rows["rare"].append([{"w": w, "n": k} for w, k in Counter(ts[i] for i in missing.tolist()).items()])
             n = b.num_rows
+            if not n:
+                continue
+            words_here, lens = split_words(b.column(1))
+            coded = words_here.dictionary_encode()
+            distinct = [*coded.dictionary.to_pylist(), END]
+            found = np.fromiter((place.get(w, -1) for w in distinct), np.int64, len(distinct))
+            cls = classes[found] if len(classes) else found.copy()
+            for i in np.flatnonzero(found < 0).tolist():
+                cls[i] = shell.shared_class(distinct[i])
+            # The end follows the words of each text.
+            codes = np.full(len(words_here) + n, len(distinct) - 1, np.int64)
+            of = np.repeat(np.arange(n), lens)
+            codes[np.arange(len(of)) + of] = coded.indices.to_numpy()
+            lens = lens + 1
+            of, edge = np.repeat(np.arange(n), lens), np.concatenate([[0], np.cumsum(lens)])
+            inside = found >= 0
+            value = np.where(inside, log_head[found], 0.0) if len(log_head) else np.zeros(len(distinct))
+            value_shared = np.where(found >= own, log_count[found], 0.0) if len(log_head) else value
+            missing = np.flatnonzero(~inside[codes])
+            pairs, times = np.unique(of[missing] * len(distinct) + codes[missing], return_counts=True)
+            rare_edge = np.searchsorted(pairs, np.arange(n + 1) * len(distinct))
+            rare = pa.StructArray.from_arrays([pa.array(distinct, pa.binary()).take(pa.array(pairs % len(distinct))), pa.array(times, pa.int32())], ["w", "n"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(at, at + n), pa.int64()), ids, held_out, pa.array(rows["n"], pa.int64()), pa.array(rows["known"], pa.int64()),
-                    pa.array(rows["head"], pa.float64()), pa.array(rows["shared"], pa.float64()), pa.array(rows["classes"], pa.binary()), pa.array(rows["rare"], pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int32())]))),
+                    pa.array(np.arange(at, at + n), pa.int64()), b.column(0), b.column(2), pa.array(lens), pa.array(np.bincount(of, inside[codes], n).astype(np.int64)),
+                    pa.array(np.bincount(of, value[codes], n)), pa.array(np.bincount(of, value_shared[codes], n)),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * edge).astype(np.int32)), pa.py_buffer(cls[codes].astype("<u2"))]),
+                    pa.ListArray.from_arrays(pa.array(rare_edge, pa.int32()), rare),
                 ],
                 names=["rid", "doc_id", "held_out", "n_tokens", "known", "head", "shared_log", "classes", "rare"],
             )
@@ -215,13 +249,32 @@ def _groups(seqs: list[np.ndarray], most: int) -> Iterator[tuple[list[int], np.n
         at += len(take)
 
 
-def _forward(model: Hmm, cls: np.ndarray, live: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward chances of all times, their scales, the emissions, and where each time starts."""
-    k = len(model.start)
-    emit = model.emit[cls]
-    alpha, scale, ones = np.empty_like(emit), np.empty(len(cls)), np.ones(k)
+def _every(model: Hmm) -> int:
+    """Steps between two scalings: the chances of so many classes stay above 1e-150."""
+    least = model.emit[model.emit > 0].min()
+    return max(1, min(16, int(150 / max(1e-9, -math.log10(least)))))
+
+
+_space = np.empty(0)
+
+
+def _room(n: int, k: int) -> np.ndarray:
+    """An array that every group of a process uses again, for new memory costs as much as a step over it."""
+    global _space
+    if _space.size < n * k:
+        _space = np.empty(n * k)
+    return _space[: n * k].reshape(n, k)
+
+
+def _forward(model: Hmm, cls: np.ndarray, live: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+    """Forward chances of all times, scaled to one at some times and at the last; those times' scales; and where each time starts.
+
+    The chances stand where those of the next call will.
+    """
+    k, every, scales = len(model.start), _every(model), {}
+    alpha, ones = _room(len(cls), k), np.ones(k)
     edge = np.concatenate([[0], np.cumsum(live)])
-    at = edge.tolist()
+    at, last = edge.tolist(), len(live) - 1
     for t in range(len(live)):
         a, b = at[t], at[t + 1]
         x = alpha[a:b]
@@ -229,10 +282,17 @@ def _forward(model: Hmm, cls: np.ndarray, live: np.ndarray, before: np.ndarray |
             np.dot(alpha[at[t - 1] : at[t - 1] + b - a], model.move, out=x)
         else:
             x[:] = model.start if before is None else before @ model.move
-        x *= emit[a:b]
-        np.dot(x, ones, out=scale[a:b])
-        x /= scale[a:b, None]
-    return alpha, scale, emit, edge
+        x *= model.emit.take(cls[a:b], 0, mode="clip")
+        if t % every == 0 or t == last:
+            scales[t] = np.dot(x, ones)
+            x /= scales[t][:, None]
+    return alpha, scales, edge
+
+
+def _ends(alpha: np.ndarray, live: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """What the forward chances of each sequence add up to at its end, which need not be a time of scaling."""
+    j = np.arange(int(live[0]))
+    return alpha[edge[np.searchsorted(-live, -j, side="left") - 1] + j].sum(1)
 
 
 def forward(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
@@ -243,15 +303,14 @@ def forward(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
             before = None
             for a in range(0, len(cls), SEGMENT):
                 part = cls[a : a + SEGMENT]
-                alpha, scale, _, _ = _forward(model, part, np.ones(len(part), np.int64), before)
-                before = alpha[-1:]
-                out[take] += np.log10(scale).sum()
+                alpha, scales, _ = _forward(model, part, np.ones(len(part), np.int64), before)
+                before = alpha[-1:].copy()
+                out[take] += np.log10(np.concatenate([*scales.values()])).sum()
             continue
-        _, scale, _, edge = _forward(model, cls, live)
-        logs, sums = np.log10(scale), np.zeros(len(take))
-        at = edge.tolist()
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            sums[: b - a] += logs[a:b]
+        alpha, scales, edge = _forward(model, cls, live)
+        sums = np.log10(_ends(alpha, live, edge))
+        for x in scales.values():
+            sums[: len(x)] += np.log10(x)
         out[take] = sums
     return out
 
@@ -276,24 +335,26 @@ class Expected:
                 continue
             parts, ends = [cls[a : a + SEGMENT] for a in range(0, len(cls), SEGMENT)], [None]
             for p in parts[:-1]:
-                ends.append(_forward(model, p, np.ones(len(p), np.int64), ends[-1])[0][-1:])
+                ends.append(_forward(model, p, np.ones(len(p), np.int64), ends[-1])[0][-1:].copy())
             after = None
             for p, before in zip(parts[::-1], ends[::-1], strict=True):
                 after = self._add(model, p, np.ones(len(p), np.int64), before, after)
 
     def _add(self, model: Hmm, cls: np.ndarray, live: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
         """Counts of a group; ``before`` and ``after`` are the forward and backward chances that it follows and that it ends with."""
-        alpha, scale, emit, edge = _forward(model, cls, live, before)
-        self.log += float(np.log(scale).sum())
+        alpha, scales, edge = _forward(model, cls, live, before)
+        ended = _ends(alpha, live, edge)
+        self.log += float(sum(np.log(x).sum() for x in scales.values()) + np.log(ended).sum())
         k, at = len(model.start), edge.tolist()
-        emit /= scale[:, None]
-        beta = np.ones((int(live[0]), k)) if after is None else after.copy()
+        beta = np.repeat(1 / ended[:, None], k, 1) if after is None else after.copy()
         back, moved = np.ascontiguousarray(model.move.T), np.zeros((k, k))
         for t in range(len(live) - 1, -1, -1):
             a, b = at[t], at[t + 1]
             n = b - a
-            w = emit[a:b]
+            w = model.emit.take(cls[a:b], 0, mode="clip")
             w *= beta[:n]
+            if t in scales:
+                w /= scales[t][:, None]
             alpha[a:b] *= beta[:n]
             if t:
                 moved += alpha[at[t - 1] : at[t - 1] + n].T @ w
@@ -304,8 +365,10 @@ class Expected:
                 moved += before.T @ w
                 beta = w @ back
         self.move += model.move * moved
-        for z in range(k):
-            self.emit[:, z] += np.bincount(cls, alpha[:, z], len(self.emit))
+        for a in range(0, len(cls), BLOCK):
+            part, shares = cls[a : a + BLOCK], np.ascontiguousarray(alpha[a : a + BLOCK].T)
+            for z in range(k):
+                self.emit[:, z] += np.bincount(part, shares[z], len(self.emit))
         return beta
 
     def model(self, mass: np.ndarray) -> Hmm:

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -188,6 +189,31 @@ def test_long_sequences_in_segments_count_the_same(monkeypatch):
     assert np.allclose(hmm.forward(m, seqs), logs) and abs(whole.log - parts.log) < 1e-9
 
 
+def test_chances_are_scaled_at_few_times_and_stay_right():
+    """By logarithms at every step; scaling each step was most of a round's cost."""
+    rng = np.random.default_rng(12)
+    emit = rng.dirichlet(np.ones(40), 3).T * 10.0 ** -rng.integers(0, 12, (40, 1))
+    m = hmm.Hmm(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), emit / emit.sum(0))
+    seqs = [rng.integers(0, 40, n) for n in (300, 1, 17, 16, 250, 33, 300)]
+    for s, got in zip(seqs, hmm.forward(m, seqs), strict=True):
+        a = np.log(m.start) + np.log(m.emit[s[0]])
+        for c in s[1:]:
+            a = np.logaddexp.reduce(a[:, None] + np.log(m.move), 0) + np.log(m.emit[c])
+        assert math.isclose(got, np.logaddexp.reduce(a) / math.log(10), rel_tol=1e-12)
+    e = hmm.Expected(40, 3)
+    e.add(m, seqs)
+    assert np.allclose(e.emit.sum(1), np.bincount(np.concatenate(seqs), minlength=40)) and math.isclose(e.move.sum(), sum(len(s) - 1 for s in seqs))
+    scales = hmm._forward(m, seqs[0], np.ones(300, np.int64))[1]
+    assert len(scales) <= 300 // 8
+
+
+def test_texts_are_split_into_the_words_of_tokens():
+    texts = [None, "", " \n\t ", " a  B\x1c\x0bc\x85 ", "\u00c9 \u00e9\u00a0\u00c9 AbC\x00d", "".join(map(chr, range(1, 128))), "\U0001f600 A\u2003b", "q Q q"]
+    words, lens = hmm.split_words(pa.array(texts))
+    assert words.to_pylist() == [w for t in texts for w in hmm.tokens(t)[:-1]]
+    assert lens.tolist() == [len(hmm.tokens(t)) - 1 for t in texts]
+
+
 def test_chances_of_a_small_vocabulary_sum_to_one():
     totals = np.array([9.0, 4, 0, 0, 2, 0])  # two words of their own, two empty places, two shared classes
     mass = hmm.class_mass(totals, 4)
