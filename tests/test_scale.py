@@ -28,3 +28,13 @@ def test_pairs_of_one_value_are_shared_among_tasks(spark):
     assert largest_share(f.df) < 0.5
     got = [tuple(r) for r in f.df.select("k", "a", "b", "`a.u`", "`b.v`").collect()]
     assert sorted(got) == [(3, i, j, float(i), float(2 * j)) for i in range(120) for j in range(120)]
+
+
+def test_expression_of_unshared_inputs_is_shared_among_tasks(spark):
+    s = Session(spark)
+    a, b = sides(spark)
+    s.register("left", a, ["k", "a"])
+    s.register("right", b, ["k", "b"])
+    df = s.eval("left.u * right.v").field.df
+    assert largest_share(df) < 0.5
+    assert df.count() == 120 * 120 and df.agg(F.sum("value")).first()[0] == 2 * sum(range(120)) ** 2
