@@ -16,8 +16,10 @@ DIGITS = 10
 INF = float("inf")
 
 
-def norm(c: Column, digits: int = DIGITS) -> Column:
-    """The identity of a float input: rounded to ``digits`` decimals by the nearest even, without a negative zero."""
+def norm(c: Column, digits: int | None = DIGITS) -> Column:
+    """The identity of a float input: rounded to ``digits`` decimals by the nearest even, without a negative zero; None rounds nothing."""
+    if digits is None:
+        return c + F.lit(0.0)
     return F.rint(c * F.lit(10.0**digits)) / F.lit(10.0**digits) + F.lit(0.0)
 
 

@@ -153,6 +153,11 @@ def swap(f: Field, along: str | None = None, branches: str = "error", flat_tol:
     error, or with ``split`` gets a ``branch`` input that counts its monotone
     runs; a turning point belongs to the run before it.
     """
+    return _swapped(f, along, branches, flat_tol, formula.DIGITS)
+
+
+def _swapped(f: Field, along: str | None, branches: str, flat_tol: float | None, digits: int | None) -> tuple[DataFrame, Schema]:
+    """``swap``; without a tolerance flat points stay, and ``digits`` are those of the new input."""
     x, o = f.type.along(along), f.type.only()
     f.type.number(x)
     if branches not in ("error", "split"):
@@ -162,12 +167,13 @@ def swap(f: Field, along: str | None = None, branches: str = "error", flat_tol:
     y = o.name
     df = f.df.where(c(y).isNotNull())
     whole, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(c(x))
-    small = F.lit(flat_tol) * (F.max(c(y)).over(whole) - F.min(c(y)).over(whole))
-    df = df.withColumn("__before", c(y) - F.lag(c(y)).over(w)).withColumn("__after", F.lead(c(y)).over(w) - c(y)).withColumn("__small", small)
-    flat = (F.col("__before").isNull() | (F.abs("__before") <= F.col("__small"))) & (F.col("__after").isNull() | (F.abs("__after") <= F.col("__small")))
-    alone = F.col("__before").isNull() & F.col("__after").isNull()
-    f.ctx.note("flat points dropped", df.where(flat & ~alone).select(*keys, c(x)))
-    df = df.where(~flat | alone)
+    if flat_tol is not None:
+        small = F.lit(flat_tol) * (F.max(c(y)).over(whole) - F.min(c(y)).over(whole))
+        df = df.withColumn("__before", c(y) - F.lag(c(y)).over(w)).withColumn("__after", F.lead(c(y)).over(w) - c(y)).withColumn("__small", small)
+        flat = (F.col("__before").isNull() | (F.abs("__before") <= F.col("__small"))) & (F.col("__after").isNull() | (F.abs("__after") <= F.col("__small")))
+        alone = F.col("__before").isNull() & F.col("__after").isNull()
+        f.ctx.note("flat points dropped", df.where(flat & ~alone).select(*keys, c(x)))
+        df = df.where(~flat | alone)
     df = df.withColumn("__s", F.signum(c(y) - F.lag(c(y)).over(w)))
     df = df.withColumn("__turn", (F.col("__s") != F.lag("__s").over(w)) | (F.col("__s") == 0))
     v = f.type.input(x)
@@ -178,7 +184,7 @@ def swap(f: Field, along: str | None = None, branches: str = "error", flat_tol:
         turns = F.sum(F.when(F.col("__turn"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
         df = df.withColumn("branch", turns.cast("bigint"))
         ins = (*[i for i in ins if i.name != y], given("branch", "int"), *[i for i in ins if i.name == y])
-    df = df.select(*keys, *([F.col("branch")] if branches == "split" else []), formula.norm(c(y)).alias("__y"), c(x).cast("double").alias("__x"))
+    df = df.select(*keys, *([F.col("branch")] if branches == "split" else []), formula.norm(c(y), digits).alias("__y"), c(x).cast("double").alias("__x"))
     df = df.withColumnsRenamed({"__y": y, "__x": x})
     return df, schema(ins, (made(x, v.unit),), y)
 
@@ -293,18 +299,23 @@ def align(fields: list[Field], grid: Field, labels: list, along: str, method: st
 
 
 @operator()
-def legendre(f: Field, along: str | None = None, slope: str = "p", result: str = "G", method: str = "pchip", branches: str = "error", flat_tol: float = 1e-9, fewpoints: str = "linear"):
-    """``p = dy/dx`` and ``G = p x - y``, as G over p."""
+def legendre(f: Field, along: str | None = None, slope: str = "p", result: str = "G", method: str = "pchip", branches: str = "error", flat_tol: float = 1e-9, fewpoints: str = "linear", digits: int | None = formula.DIGITS):
+    """``p = dy/dx`` and ``G = p x - y``, as G over p.
+
+    Where y is straight, p and G are the same at all its points.  ``split``
+    keeps such points, each as a branch: without them a straight curve would
+    have no transform.
+    """
     x, o = f.type.along(along), f.type.only()
     p = OPS["deriv"](f, along=x, method=method, fewpoints=fewpoints)
     both = OPS["join"]([f, p], labels=["y", "p"])
     got = OPS["map"](both, new={"__p": f"p.{o.name}", "__g": f"p.{o.name}*{x}-y.{o.name}"})
     # Change of variables: p takes the place of x, G rides along as x does in swap.
-    turned = OPS["swap"](OPS["select"](got, ["__p"]), along=x, branches=branches, flat_tol=flat_tol)
+    df, turned = _swapped(OPS["select"](got, ["__p"]), x, branches, None if branches == "split" else flat_tol, digits)
     key = f.type.key(x)
-    back = turned.df.join(got.df.select(*[c(n) for n in key], c(x).cast("double").alias(x), F.col("__g")), [*key, x])
-    ins = tuple(i.but(name=slope) if i.name == "__p" else i for i in turned.type.inputs)
-    df = back.select(*[c(i.name) for i in turned.type.inputs if i.name != "__p"], F.col("__p").alias(slope), F.col("__g").alias(result))
+    back = df.join(got.df.select(*[c(n) for n in key], c(x).cast("double").alias(x), F.col("__g")), [*key, x])
+    ins = tuple(i.but(name=slope) if i.name == "__p" else i for i in turned.inputs)
+    df = back.select(*[c(i.name) for i in turned.inputs if i.name != "__p"], F.col("__p").alias(slope), F.col("__g").alias(result))
     return df, schema(ins, (made(result),), slope)
 
 

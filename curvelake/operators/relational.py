@@ -116,7 +116,7 @@ def points(f: Field):
 
 
 @operator()
-def transform(f: Field, name: str, to: str, formula_: str, digits: int = formula.DIGITS, check: bool = False):
+def transform(f: Field, name: str, to: str, formula_: str, digits: int | None = formula.DIGITS, check: bool = False):
     """Replaces an input by a function of the columns; exact if it uses exact inputs only.
 
     Points whose new value is missing are dropped.  ``check`` refuses points

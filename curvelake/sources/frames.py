@@ -15,7 +15,7 @@ from curvelake.plans.tree import Context, Field, c
 from curvelake.types import Schema, given, made, schema
 
 
-def normalized(df: DataFrame, ftype: Schema, digits: int, ctx: Context, nan_rows: str = "drop") -> DataFrame:
+def normalized(df: DataFrame, ftype: Schema, digits: int | None, ctx: Context, nan_rows: str = "drop") -> DataFrame:
     """Declared types; float inputs rounded, NaN as NULL, and points with a missing input left out."""
     cols = []
     for v in ftype.inputs:
@@ -43,7 +43,7 @@ class Frame:
     type: Schema
     repeats: str = "error"
     order: tuple[str, ...] = ()
-    digits: int = formula.DIGITS
+    digits: int | None = formula.DIGITS
     nan_rows: str = "drop"
 
     def read(self, ctx: Context, tests=(), repeats: str = "", nan_rows: str = "") -> tuple[DataFrame, Schema]:
@@ -75,9 +75,9 @@ def declare(inputs: list[str], outputs: list[str], axis: str | None = None, exac
     return schema(tuple(given(n, dtypes.get(n, "float"), n in exact, units.get(n)) for n in inputs), tuple(made(n, units.get(n)) for n in outputs), axis)
 
 
-def field_of(ctx: Context, name: str, df: DataFrame, ftype: Schema, repeats: str = "error", order: tuple[str, ...] = ()) -> Field:
+def field_of(ctx: Context, name: str, df: DataFrame, ftype: Schema, repeats: str = "error", order: tuple[str, ...] = (), digits: int | None = formula.DIGITS) -> Field:
     """A field over a DataFrame, under a name that its tree uses."""
     from curvelake.plans.tree import OPS
 
-    ctx.tables[name] = Frame(lambda _: df, ftype, repeats, order)
+    ctx.tables[name] = Frame(lambda _: df, ftype, repeats, order, digits)
     return OPS["source"](ctx=ctx, name=name)
