@@ -123,29 +123,120 @@ def cubic_slopes(x: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndar
     return out
 
 
-def smooth_values(x: np.ndarray, y: np.ndarray, s: float) -> np.ndarray:
-    """Values of the smoothest natural cubic whose squared residuals sum to ``s`` at most."""
-    n = len(x)
-    h = np.diff(x)
-    q = np.zeros((n, n - 2))
-    r = np.zeros((n - 2, n - 2))
-    for j in range(n - 2):
-        q[j, j], q[j + 1, j], q[j + 2, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
-        r[j, j] = (h[j] + h[j + 1]) / 3
-        if j + 1 < n - 2:
-            r[j, j + 1] = r[j + 1, j] = h[j + 1] / 6
-    qq, qy = q.T @ q, q.T @ y
-
-    def fit(p: float) -> np.ndarray:
-        return y - p * (q @ np.linalg.solve(r + p * qq, qy))
-
-    low, high = -30.0, 30.0
-    if ((fit(10.0**high) - y) ** 2).sum() <= s:
-        return fit(10.0**high)
-    for _ in range(80):
-        p = (low + high) / 2
-        low, high = (p, high) if ((fit(10.0**p) - y) ** 2).sum() <= s else (low, p)
-    return fit(10.0**low)
+#: Decades of the weight of smoothness that are searched, and how near to its bound the search goes.
+DECADES, NEAR = 30.0, 1e-12
+
+
+class _Smoother:
+    """Natural cubics through many curves' points, smoothed with a weight for each curve.
+
+    A curve's system has five diagonals, one row for each inner point.  All
+    curves are eliminated together, the longest first.  Rows are kept by their
+    place in the curve, so that a step works on slices and memory is in
+    proportion to points.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        by_length = np.argsort(starts - ends, kind="stable")
+        starts, inner = starts[by_length], (ends - starts - 2)[by_length]
+        self.order, self.y = by_length, y
+        # How many curves have more than k inner points; rows of place k are offs[k] to offs[k] + more[k].
+        more = len(inner) - np.searchsorted(inner[::-1], np.arange(inner[0] + 1), side="right")
+        self.more, self.offs = more.tolist(), np.concatenate([[0], np.cumsum(more)]).tolist()
+        place = np.repeat(np.arange(len(more)), more)
+        self.curve = np.arange(len(place)) - np.asarray(self.offs)[place]
+        self.at = at = starts[self.curve] + place  # the point before each inner one
+        self.points = np.concatenate([np.arange(b, b + n + 2) for b, n in zip(starts.tolist(), inner.tolist(), strict=True)])
+        self.owner = np.repeat(np.arange(len(inner)), inner + 2)
+        h0, h1 = x[at + 1] - x[at], x[at + 2] - x[at + 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.a, self.b, self.c = 1 / h0, -1 / h0 - 1 / h1, 1 / h1
+            self.qy = self.a * y[at] + self.b * y[at + 1] + self.c * y[at + 2]
+            self.r = (h0 + h1) / 3, h1 / 6
+            one, two = self._later(1), self._later(2)
+            self.qq = self.a**2 + self.b**2 + self.c**2, self.b * self.a[one] + self.c * self.b[one], self.c * self.a[two]
+
+    def _later(self, k: int) -> np.ndarray:
+        """Each row's row ``k`` places on; rows without one get themselves, and what they read is not used."""
+        out = np.arange(len(self.at))
+        for i in range(len(self.more) - k):
+            n = self.more[i + k]
+            out[self.offs[i] : self.offs[i] + n] = self.offs[i + k] + np.arange(n)
+        return out
+
+    def residuals(self, p: np.ndarray) -> np.ndarray:
+        """What smoothing takes from each value, at ``points``; ``p`` has a weight for each curve, longest first."""
+        w = p[self.curve]
+        d, e = self.r[0] + w * self.qq[0], self.r[1] + w * self.qq[1]
+        g, z = w * self.qq[2], self.qy.copy()
+        l1, l2 = np.empty_like(d), np.empty_like(d)
+        offs, more = self.offs, self.more
+        for k in range(len(more)):
+            i, n = offs[k], more[k]
+            here = slice(i, i + n)
+            if k:
+                b = slice(offs[k - 1], offs[k - 1] + n)
+                d[here] -= l1[b] * e[b]
+                z[here] -= l1[b] * z[b]
+                e[here] -= l1[b] * g[b]
+            if k > 1:
+                b = slice(offs[k - 2], offs[k - 2] + n)
+                d[here] -= l2[b] * g[b]
+                z[here] -= l2[b] * z[b]
+            l1[here] = e[here] / d[here]
+            l2[here] = g[here] / d[here]
+        u = z / d
+        for k in range(len(more) - 2, -1, -1):
+            i = offs[k]
+            n = more[k + 1]
+            u[i : i + n] -= l1[i : i + n] * u[offs[k + 1] : offs[k + 1] + n]
+            if k + 2 < len(more):
+                n = more[k + 2]
+                u[i : i + n] -= l2[i : i + n] * u[offs[k + 2] : offs[k + 2] + n]
+        u *= w
+        out = np.zeros(len(self.y))
+        out[self.at] += self.a * u
+        out[self.at + 1] += self.b * u
+        out[self.at + 2] += self.c * u
+        return out[self.points]
+
+
+def smooth_values(x: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndarray, s: float) -> np.ndarray:
+    """Values of the smoothest natural cubics whose squared residuals sum to ``s`` at most; rows of no curve keep theirs."""
+    out = y.copy()
+    if not len(starts):
+        return out
+    m = _Smoother(x, y, starts, ends)
+    bound = np.log(max(s, 1e-300))
+
+    def over(t: np.ndarray) -> np.ndarray:
+        """By how much the logarithm of the squares passes the bound."""
+        return np.log(np.maximum(np.bincount(m.owner, m.residuals(10.0**t) ** 2, len(t)), 1e-300)) - bound
+
+    with np.errstate(all="ignore"):
+        # Chandrupatla's search: a and b hold the weight between them, c is the point left behind.
+        a, b = np.full(len(starts), -DECADES), np.full(len(starts), DECADES)
+        fa, fb = over(a), over(b)
+        whole, none = fb <= 0, fa > 0  # bounds that all weights keep, and that none keeps
+        step = np.full(len(starts), 0.5)
+        c, fc = a.copy(), fa.copy()
+        for _ in range(100):
+            t = a + step * (b - a)
+            f = over(t)
+            same = (f > 0) == (fa > 0)
+            c, fc = np.where(same, a, b), np.where(same, fa, fb)
+            b, fb = np.where(same, b, a), np.where(same, fb, fa)
+            a, fa = t, f
+            least = NEAR / np.abs(b - a)
+            if np.all((least > 0.5) | whole | none | np.isnan(f)):
+                break
+            xi, phi = (a - b) / (c - b), (fa - fb) / (fc - fb)
+            bent = fa / (fb - fa) * fc / (fb - fc) + (c - a) / (b - a) * fa / (fc - fa) * fb / (fc - fb)
+            step = np.where((phi**2 < xi) & ((1 - phi) ** 2 < 1 - xi), bent, 0.5)
+            step = np.clip(step, np.minimum(least, 0.5), np.maximum(1 - least, 0.5))
+        best = np.where(whole, DECADES, np.where(none, -DECADES, np.where(fa <= 0, a, b)))
+        out[m.points] -= m.residuals(10.0**best)
+    return out
 
 
 def _solved(df: DataFrame, key: list[str], x: str, y: str, name: str, s: float) -> DataFrame:
@@ -156,8 +247,7 @@ def _solved(df: DataFrame, key: list[str], x: str, y: str, name: str, s: float)
         xs, ys = rows[x].to_numpy(float), rows[y].to_numpy(float).copy()
         enough = ends - starts >= need
         if name == "smooth":
-            for a, b in zip(starts[enough].tolist(), ends[enough].tolist(), strict=True):
-                ys[a:b] = smooth_values(xs[a:b], ys[a:b], s)
+            ys = smooth_values(xs, ys, starts[enough], ends[enough], s)
         m = cubic_slopes(xs, ys, starts[enough], ends[enough])
         after = {}
         for n, v in (("__x1", xs), ("__y1", ys), ("__m1", m)):
