@@ -41,8 +41,9 @@ SHARED = 2_000
 HEAD = 300_000
 #: Rounds of Baum-Welch, each over all training documents.
 ROUNDS = 14
-#: Tokens of one padded group of documents and of the batches taken together, and of a segment of a longer sequence.
-GROUP = 1_000_000
+#: Tokens of one padded group of documents, of the batches taken together (two bytes each), and of a segment of a longer sequence.
+GROUP = 2_000_000
+HELD = 4_000_000
 SEGMENT = 100_000
 #: Tokens whose expected counts are added to the classes at once.
 BLOCK = 200_000
@@ -381,15 +382,16 @@ class Expected:
 
 
 def _together(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
-    """Batches of about ``GROUP`` tokens, with their class sequences, so that steps over documents are wide."""
+    """Batches of about ``HELD`` tokens, with their class sequences: the more, the more long documents share the steps of a group."""
     held, seqs, size = [], [], 0
     for b in batches:
         held.append(b)
-        seqs += [_sequence(x) for x in b.column(at).to_pylist()]
-        size = sum(map(len, seqs))
-        if size >= GROUP:
+        new = [_sequence(x) for x in b.column(at).to_pylist()]
+        seqs += new
+        size += sum(map(len, new))
+        if size >= HELD:
             yield held, seqs
-            held, seqs = [], []
+            held, seqs, size = [], [], 0
     if held:
         yield held, seqs
 
